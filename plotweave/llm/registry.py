@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plotweave.llm import sharding, simhash
+from plotweave.llm import minhash, sharding, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_simhash_near_dedup": simhash.query,
+    "op6_document_fingerprints": minhash.query,
     "op10_sharding": sharding.query,
 }
 SQL: dict[str, str] = {}
