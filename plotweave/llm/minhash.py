@@ -78,7 +78,7 @@ def likeness(a: str, b: str) -> Column:
     return F.expr(f"greatest(0D, ({equal} / {float(BINS)}D - {chance}D) / {1 - chance}D)")
 
 
-def _ranges(docs: DataFrame, id_col: str) -> Column:
+def id_ranges(docs: DataFrame, id_col: str) -> Column:
     """Number of the range of ids a row lies in, larger for larger ids, -1 for null: about equal row counts."""
     n = docs.count()
     count = max(1, min(MOST_RANGES, math.ceil(n / RANGE_ROWS)))
@@ -106,7 +106,7 @@ def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     the end of each range, so that no task sees more than its range.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    bucket = _ranges(rows, "doc_id")
+    bucket = id_ranges(rows, "doc_id")
     keyed = rows.select("doc_id", "text", F.xxhash64("text").alias("tie"), bucket.alias("r"))
     # One row a range: its first id and the range that comes before it.
     tops = rows.select("doc_id", bucket.alias("r")).groupBy("r").agg(F.max("doc_id").alias("top"))

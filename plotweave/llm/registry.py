@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plotweave.llm import decontam, minhash, mixing, sharding, simhash
+from plotweave.llm import decontam, minhash, mixing, sharding, simhash, tokens
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_benchmark_decontamination": decontam.query,
     "op2_source_mixing": mixing.query,
     "op5_simhash_near_dedup": simhash.query,
     "op6_document_fingerprints": minhash.query,
+    "op9_token_output": tokens.query,
     "op10_sharding": sharding.query,
 }
 SQL: dict[str, str] = {
