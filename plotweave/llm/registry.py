@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plotweave.llm import decontam, minhash, mixing, quality, sharding, simhash, tokens, toxicity
+from plotweave.llm import decontam, lm, minhash, mixing, quality, sharding, simhash, tokens, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_benchmark_decontamination": decontam.query,
     "op2_source_mixing": mixing.query,
+    "op3_lm_scoring": lm.query,
     "op4_quality_classifier": quality.query,
     "op5_simhash_near_dedup": simhash.query,
     "op6_document_fingerprints": minhash.query,
