@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plotweave.llm import decontam, lm, minhash, mixing, quality, sharding, simhash, tokens, toxicity
+from plotweave.llm import decontam, lines, lm, minhash, mixing, quality, sharding, simhash, tokens, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_benchmark_decontamination": decontam.query,
@@ -16,6 +16,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_simhash_near_dedup": simhash.query,
     "op6_document_fingerprints": minhash.query,
     "op7_toxicity": toxicity.query,
+    "op8_line_dedup": lines.query,
     "op9_token_output": tokens.query,
     "op10_sharding": sharding.query,
 }
