@@ -73,7 +73,7 @@ def _key(fp: str, shift: int, width: int) -> Column:
 def leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, shingle: int = SHINGLE_WORDS, blocks: int = BLOCKS, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """``(doc_id, item_id, similarity, start_word, n_words)``: each document and item of which a window is similar enough.
 
-    The best window counts, the first of equally good ones.  An item shorter than a shingle is one shingle; an item or a
+    The best window counts, the first of equally good ones among those placed.  An item shorter than a shingle is one shingle; an item or a
     document without words matches nothing; a document shorter than the item is one window.  Rows with
     equal id give one row an item; a null id is reported as null.  Other columns are ignored.
     """
