@@ -244,10 +244,41 @@ def vertex_labels(spark: SparkSession, d: str) -> DataFrame:
     return sk.cluster(sk.nodes(mask), mask)[1]
 
 
-@query()
+def _end_sql(p: str, up: bool) -> str:
+    """SQL for row, column and direction into the run of the end at place ``p``; names begin with ``p``."""
+    d = [4, 5, 2, 3] if up else [0, 1, 6, 7]
+    return f"""CASE k WHEN 2 THEN same ELSE {p} END AS {p}y, CASE k WHEN 0 THEN same WHEN 1 THEN same - {p} WHEN 2 THEN {p} ELSE {p} - same END AS {p}x,
+  CASE k {' '.join(f'WHEN {n} THEN {v}' for n, v in enumerate(d))} END AS {p}d"""
+
+
+_TRACE = f"""{_GRAPH}, lbl AS (SELECT o.image_id, o.y, o.x, v.id AS vid FROM onit o JOIN vert v ON v.image_id = o.image_id AND v.label = o.label),
+un AS (SELECT c.image_id, c.y, c.x, CASE code WHEN 17 THEN 0 WHEN 34 THEN 1 WHEN 68 THEN 2 WHEN 136 THEN 3 END AS k FROM code c LEFT JOIN lbl l ON l.image_id = c.image_id AND l.y = c.y AND l.x = c.x WHERE l.vid IS NULL),
+ln AS (SELECT image_id, k, CASE k WHEN 0 THEN x WHEN 1 THEN y + x WHEN 2 THEN y ELSE y - x END AS same, CASE k WHEN 2 THEN x ELSE y END AS p FROM un WHERE k IS NOT NULL),
+isl AS (SELECT image_id, k, same, p, p - row_number() OVER (PARTITION BY image_id, k, same ORDER BY p) AS g FROM ln),
+run AS (SELECT image_id, k, same, min(p) - 1 AS lo, max(p) + 1 AS hi FROM isl GROUP BY image_id, k, same, g),
+en AS (SELECT image_id, k, hi - lo AS steps, {_end_sql('lo', True)}, {_end_sql('hi', False)} FROM run),
+ve AS (SELECT en.*, a.vid AS lov, b.vid AS hiv FROM en JOIN lbl a ON a.image_id = en.image_id AND a.y = loy AND a.x = lox JOIN lbl b ON b.image_id = en.image_id AND b.y = hiy AND b.x = hix),
+od AS (SELECT *, (lov < hiv OR lov = hiv AND (loy < hiy OR loy = hiy AND (lox < hix OR lox = hix AND lod <= hid))) AS fwd FROM ve),
+ed AS (SELECT image_id, steps, k, CASE WHEN fwd THEN lov ELSE hiv END AS sv, CASE WHEN fwd THEN hiv ELSE lov END AS ev, CASE WHEN fwd THEN loy ELSE hiy END AS sy, CASE WHEN fwd THEN lox ELSE hix END AS sx,
+  CASE WHEN fwd THEN hiy ELSE loy END AS ey, CASE WHEN fwd THEN hix ELSE lox END AS ex, CASE WHEN fwd THEN lod ELSE hid END AS sd FROM od)
+SELECT image_id, CAST(row_number() OVER (PARTITION BY image_id ORDER BY sv, sy, sx, sd) - 1 AS INTEGER) AS id, sv AS start_vertex, ev AS end_vertex,
+  round(steps * CASE WHEN k % 2 = 1 THEN sqrt(2.0) ELSE 1.0 END, 6) AS pixel_length, CAST(sx AS DOUBLE) AS x0, CAST(sy AS DOUBLE) AS y0, CAST(ex AS DOUBLE) AS x1, CAST(ey AS DOUBLE) AS y1 FROM ed"""
+
+
+def _edge_rows(edges: DataFrame) -> DataFrame:
+    a, b = F.get("path", 0), F.get("path", 1)
+    return edges.select("image_id", "id", "start_vertex", "end_vertex", r6("pixel_length").alias("pixel_length"), a["x"].alias("x0"), a["y"].alias("y0"), b["x"].alias("x1"), b["y"].alias("y1"))
+
+
+@query(_TRACE)
 def trace_edges(spark: SparkSession, d: str) -> DataFrame:
-    graph = sk.build_graph(ad.mask8(spark, d))
-    return graph["edges"].select("image_id", "id", "start_vertex", "end_vertex", r6("pixel_length").alias("pixel_length"), F.col("path")[0]["x"].alias("x0"), F.col("path")[0]["y"].alias("y0"), F.col("path")[1]["x"].alias("x1"), F.col("path")[1]["y"].alias("y1"))
+    mask = ad.mask8(spark, d)
+    return _edge_rows(sk.trace(mask, sk.cluster(sk.nodes(mask), mask)[1]))
+
+
+@query()
+def stroke_graph(spark: SparkSession, d: str) -> DataFrame:
+    return _edge_rows(sk.build_graph(ad.mask8(spark, d))["edges"])
 
 
 @query()
