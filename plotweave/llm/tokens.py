@@ -10,7 +10,9 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
+from hashlib import sha256
 from itertools import repeat
+from string import punctuation
 
 import numpy as np
 import pyarrow as pa
@@ -26,17 +28,26 @@ END_ID = 0
 #: Ids in a block: one is closed at the first document that starts beyond.
 BLOCK_IDS = 1 << 19
 #: Chunks whose ids a Python worker remembers.
-REMEMBERED = 500_000
+REMEMBERED = 400_000
 #: White space other than space and newline, and characters that mark keys: such texts go to the tokenizer whole.
 _OTHER = re.compile("[\\x00-\\x02\\t\\r\\x0b\\x0c\\x1c-\\x1f\\x85\\xa0\\u1680\\u180e\\u2000-\\u200d\\u2028\\u2029\\u202f\\u205f\\u2060\\u3000\\ufeff]")
 
 
+def _byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte in a byte-level vocabulary: itself if visible, else the next from U+0100 on."""
+    seen = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in seen]
+    return {b: chr(b) for b in seen} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
+_BYTES = _byte_letters()
+
+
 class Encoder:
     """Ids of whole texts by a byte-level BPE of the tokenizers library, remembering chunks.
 
     Such a tokenizer never joins what lies on both sides of a single space or newline between two visible
-    characters, so a text may be cut before each and the ids of equal chunks looked up; new chunks are strung together
-    and encoded by the library.  Texts with other white space, or with the string of an added token, are encoded by
+    characters, so a text may be cut before each and the ids of equal chunks looked up; the library encodes new ones.  Texts with other white space, or with the string of an added token, are encoded by
     the library whole.
     """
 
@@ -48,12 +59,14 @@ class Encoder:
 
         self.tok = Tokenizer.from_file(path)
         size = self.tok.get_vocab_size()
+        self.texts = {}
         self.added = [str(t) for t in self.tok.get_added_tokens_decoder().values()]
-        self.n_bytes = np.array([len(self.tok.id_to_token(i) or "") for i in range(size)], np.int64)
+        self.plain = type(self.tok.model).__name__ == "BPE" and self.tok.normalizer is None and not self.tok.encode(" a").tokens[0].startswith(" ")
         self.dtype = "<u2" if size <= 1 << 16 else "<u4"
         self.clear()
 
     def clear(self) -> None:
+        self.pieces: dict[str, tuple[int, ...]] = {}
         self.index: dict[str, int] = {"\x01": 0}
         self.ids, self.used = np.zeros(1 << 16, np.uint32), 1
         self.ids[0] = END_ID
@@ -74,42 +87,87 @@ class Encoder:
         self.index.update(zip(keys, range(n, n + len(keys))))
         self.used += len(ids)
 
+    def _forget(self) -> None:
+        """Drop what was learned beyond the first REMEMBERED chunks and pieces; the frequent ones come early."""
+        over = len(self.index) - REMEMBERED
+        for _ in range(over):
+            _, k = self.index.popitem()
+            self.used = min(self.used, int(self.starts[k]))
+        for _ in range(len(self.pieces) - REMEMBERED):
+            self.pieces.popitem()
+
+    def _pieces(self, key: str) -> list[str] | None:
+        """What the tokenizer's pattern cuts a chunk into, if it is a word of letters with ASCII signs behind, else None."""
+        if key[0] == "\x00":
+            lead, body = [], key[1:]
+        elif key[0] == "\n":
+            lead, body = ["\n"], key[1:]
+        else:
+            lead, body = [], " " + key
+        base = body.rstrip(punctuation)
+        if not (base[1:] if base[:1] == " " else base).isalpha():
+            return None
+        return [*lead, base, body[len(base) :]] if len(base) < len(body) else [*lead, base]
+
     def _learn(self, keys: list[str]) -> None:
-        whole = [k for k in keys if k[:1] in ("\x00", "\x02")]
+        """Remember the ids of chunks: of plain words piece by piece, which the model encodes; of others by the whole tokenizer."""
+        whole: list[str] = []
+        plain, ends, ids = [], [], []
+        tokenize, index, own = self.tok.model.tokenize, self.index, {}
+        for k in keys:
+            if self.plain and k.isalpha():  # a word after a space, the most frequent kind
+                if k not in own:
+                    ids += [t.id for t in tokenize("\u0120" + (k if k.isascii() else k.encode().decode("latin1").translate(_BYTES)))]
+                    own[k] = len(plain)
+                    plain.append(k)
+                    ends.append(len(ids))
+                continue
+            cut = self._pieces(k) if self.plain and k[0] != "\x02" else None
+            if cut is None:
+                whole.append(k)
+                continue
+            for piece in cut:
+                word = piece[1:] if piece[0] == " " else ""
+                at = index.get(word, -1) if word else -1
+                if at >= 0:
+                    ids += self.ids[self.starts[at] : self.starts[at] + self.sizes[at]].tolist()
+                elif word in own:
+                    n = own[word]
+                    ids += ids[ends[n - 1] if n else 0 : ends[n]]
+                else:
+                    found = self.pieces.get(piece)
+                    if found is None:
+                        found = tuple(t.id for t in tokenize(piece.encode().decode("latin1").translate(_BYTES)))
+                        self.pieces[piece] = found
+                    ids += found
+            plain.append(k)
+            ends.append(len(ids))
+        if plain:
+            self._remember(plain, np.array(ids, np.uint32), np.array(ends))
         for at in range(0, len(whole), 256):
             part = whole[at : at + 256]
-            got = [e.ids for e in self.tok.encode_batch([k[1:] for k in part], add_special_tokens=False)]
+            texts = [k if k[0] == "\n" else self.texts[k] if k[0] == "\x02" else k[1:] if k[0] == "\x00" else " " + k for k in part]
+            got = [e.ids for e in self.tok.encode_batch(texts, add_special_tokens=False)]
             self._remember(part, np.array([i for g in got for i in g], np.uint32), np.cumsum([len(g) for g in got]))
-        chunks = [k for k in keys if k[:1] not in ("\x00", "\x02")]
-        for at in range(0, len(chunks), 4096):
-            part = chunks[at : at + 4096]
-            texts = [k if k[0] == "\n" else " " + k for k in part]
-            ids = np.array(self.tok.encode("".join(texts), add_special_tokens=False).ids, np.uint32)
-            ends = np.cumsum([len(t.encode()) for t in texts])
-            have = np.cumsum(self.n_bytes[ids])
-            cut = np.searchsorted(have, ends)
-            if len(have) == 0 or have[-1] != ends[-1] or (have[cut] != ends).any():
-                raise ValueError("this tokenizer joins words: it isn't a byte-level BPE")
-            self._remember(part, ids, cut + 1)
 
     def _chunks(self, text: str) -> list[str]:
-        """Keys of a text: chunks without their space, the first marked; or the whole text, marked otherwise."""
+        """Keys of a text: chunks without their space, the first marked; or one key for the whole text."""
         if not text:
             return []
         if text[0] in " \n" or text[-1] in " \n" or "  " in text or " \n" in text or "\n " in text or "\n\n" in text or _OTHER.search(text) or any(a in text for a in self.added):
-            return ["\x02" + text]
+            key = "\x02" + sha256(text.encode("utf-8", "surrogatepass")).hexdigest()
+            self.texts[key] = text
+            return [key]
         return ("\x00" + text.replace("\n", " \n")).split(" ")
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """All ids in order, each text's followed by the end id, and the number of each text's ids."""
-        if len(self.index) > REMEMBERED:
-            self.clear()
+        self._forget()
+        self.texts: dict[str, str] = {}  # texts that go to the tokenizer whole, by key
         keys: list[str] = []
         counts = np.empty(len(texts), np.int64)
-        once: list[str] = []
         for i, text in enumerate(texts):
             own = self._chunks(text or "")
-            once += own if len(own) == 1 and own[0][0] == "\x02" else []
             counts[i] = len(own) + 1
             keys += own
             keys.append("\x01")
@@ -124,8 +182,6 @@ class Encoder:
         where = np.repeat(self.starts[at] - ends + sizes, sizes) + np.arange(int(ends[-1]) if len(ends) else 0)
         ids = self.ids[where]
         per = np.add.reduceat(sizes, np.cumsum(counts) - counts) if len(texts) else np.empty(0, np.int64)
-        for k in once:  # whole texts aren't worth remembering
-            self.index[k + "\x01"] = self.index.pop(k, 0)
         return ids, per
 
 
@@ -146,11 +202,13 @@ def tokenize(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = _encoder(tokenizer)
         for b in batches:
-            ids, per = enc.encode(b.column(1).to_pylist())
-            raw = ids.astype(enc.dtype)
-            ends = np.cumsum(per).tolist()
-            data = [raw[e - n : e].tobytes() for e, n in zip(ends, per.tolist())]
-            yield pa.record_batch([b.column(0), pa.array(per, pa.int64()), pa.array(data, pa.binary())], ["doc_id", "n_tokens", "ids"])
+            data, sizes = [], []
+            for at in range(0, b.num_rows, 256):  # few texts at a time: their chunks take more memory than they
+                ids, per = enc.encode(b.column(1).slice(at, 256).to_pylist())
+                raw = ids.astype(enc.dtype)
+                data += [raw[e - n : e].tobytes() for e, n in zip(np.cumsum(per).tolist(), per.tolist())]
+                sizes += per.tolist()
+            yield pa.record_batch([b.column(0), pa.array(sizes, pa.int64()), pa.array(data, pa.binary())], ["doc_id", "n_tokens", "ids"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return rows.mapInArrow(run, "doc_id long, n_tokens long, ids binary")
