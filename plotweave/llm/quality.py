@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plotweave.llm.common import bounded_arrow, read
-from plotweave.llm.training import held_out, sample
+from plotweave.llm.training import fit_in_task, held_out, sample
 
 FOLDS, FOLD = 3, 1
 #: At most so many labelled rows of each class, of at most so many characters, are fitted on.
@@ -137,8 +137,7 @@ def fit(texts: list[str], y: np.ndarray, seed: int = 0) -> Model:
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", id_col: str = "doc_id") -> Model:
-    rows = sample(docs, labels, label, FOLDS, FOLD, TRAIN_ROWS, TRAIN_CHARS, id_col).toPandas().sort_values("doc_id")
-    return fit(rows["text"].tolist(), rows["y"].to_numpy())
+    return fit_in_task(sample(docs, labels, label, FOLDS, FOLD, TRAIN_ROWS, TRAIN_CHARS, id_col), fit)
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -3,7 +3,7 @@
 The kernel counts the subsequences of four letters that two words share, each weighted by DECAY to the
 length of its span, so that letters put in between only lessen it.  A few words serve as Nyström landmarks: a word's features
 are its kernel values with them times the inverse root of theirs among themselves.  A squared-hinge machine over these is
-trained on labelled texts as bags of words, a text being as toxic as its most suspicious word.  Runs of letters that toxic
+trained on labelled texts as bags of words, a text being as toxic as its most suspicious word, or as the two or three most suspicious ones together.  Runs of letters that toxic
 texts share beyond chance choose the first suspects; rounds of training then add the words that the machine suspects in
 texts not explained so far, and as counterexamples the clean words that come closest.
 
@@ -16,6 +16,7 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from heapq import nlargest
 from itertools import combinations
 
 import numpy as np
@@ -24,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plotweave.llm.common import bounded_arrow, read
-from plotweave.llm.training import held_out, sample
+from plotweave.llm.training import fit_in_task, held_out, sample
 
 FOLDS, FOLD = 5, 0
 #: At most so many labelled rows of each class, of at most so many characters, are fitted on.
@@ -38,8 +39,8 @@ RUN = (4, 7)
 NEGATIVES, REMEMBERED = 6_000, 400_000
 #: Longer words are scored by overlapping pieces of this length.
 PIECE, STRIDE = 24, 16
-#: A text's margin isn't below this.
-FLOOR = -1.0
+#: A word's margin isn't below this; how many of a text's greatest margins are looked at; weight of a clean text called toxic.
+FLOOR, MEANS, WARY = -1.0, 3, 3
 #: Runs of at least so many one-letter words are also read as one word.
 SPELLED = 4
 
@@ -126,12 +127,16 @@ def kernel(a: list[str], b: list[str]) -> np.ndarray:
 
 @dataclass
 class Model:
-    """``weight`` a subsequence, ``bias`` of a word's margin; ``slope`` and ``shift`` turn a text's margin into a score."""
+    """``weight`` a subsequence, ``bias`` of a word's margin; ``slope`` and ``edges`` turn a text's margins into a score.
+
+    ``edges[k]`` is what the mean of the k + 1 greatest margins must reach; the text's score is that of the mean that
+    exceeds its edge most.
+    """
 
     weight: np.ndarray
     bias: float
     slope: float
-    shift: float
+    edges: tuple[float, ...]
 
     def margins(self, words: list[str]) -> np.ndarray:
         """Margins of words of any length; a long word's is the greatest of its pieces."""
@@ -153,8 +158,15 @@ class Model:
             memory.clear()
         new = [w for w in set().union(*bags) if w not in memory] if bags else []
         memory.update(zip(new, self.margins(new).tolist()))
-        top = np.array([max([FLOOR, *map(memory.__getitem__, bag)]) for bag in bags])
-        return 1 / (1 + np.exp(-np.clip(self.slope * top + self.shift, -500, 500)))
+        over = (tops(bags, memory, len(self.edges)) - np.array(self.edges)).max(1) if bags else np.empty(0)
+        return 1 / (1 + np.exp(-np.clip(self.slope * over, -500, 500)))
+
+
+def tops(bags: list[set[str]], memory: dict[str, float], k: int) -> np.ndarray:
+    """Means of the 1 to k greatest margins of each bag; what is missing or below counts as FLOOR."""
+    best = [nlargest(k, map(memory.__getitem__, bag)) if bag else [] for bag in bags]
+    rows = np.array([b + [FLOOR] * (k - len(b)) for b in best]).reshape(len(bags), k)
+    return np.cumsum(np.maximum(rows, FLOOR), axis=1) / np.arange(1, k + 1)
 
 
 def _machine(x: np.ndarray, y: np.ndarray, cost: np.ndarray) -> np.ndarray:
@@ -191,7 +203,7 @@ def _runs(word: str) -> set[str]:
 def _telling(toxic: list[list[str]], clean: list[set[str]], texts: int) -> list[str]:
     """Words of toxic texts to begin with, once a text: those with a run of letters that tells the classes apart.
 
-    A run tells if clean texts hardly have it and so many toxic ones do as chance would not give to any run.
+    A run tells if toxic texts have it so much more often than clean ones as chance would not give to any run.
     A text without such a run gives its words with the run that most other toxic texts share.
     """
     runs = {w: _runs(w) for b in toxic for w in b}
@@ -205,13 +217,17 @@ def _telling(toxic: list[list[str]], clean: list[set[str]], texts: int) -> list[
                 of[w] = [r for r in _runs(w) if r in many]
         few.update({r for w in b for r in of[w]})
     share = len(toxic) / texts
-    odds = {r: n for r, n in many.items() if few[r] * len(toxic) <= 0.02 * n * max(1, len(clean))}
-    enough = (np.log(max(2, len(many))) + 5) / -np.log(min(0.9, share))
+    n = np.array([many[r] for r in many], float)
+    f = np.array([few[r] for r in many], float)
+    gain = n * np.log(n / ((n + f) * share)) + np.where(f > 0, f * np.log(np.maximum(f, 1) / ((n + f) * (1 - share))), 0)
+    gain = np.where(n * len(clean) >= 3 * f * len(toxic), gain, 0)
+    odds = dict(zip(many, gain.tolist()))
+    enough = np.log(max(2, len(many))) + 5
     out = []
     for b in toxic:
         best = {w: max((odds.get(r, 0) for r in runs[w]), default=0) for w in b}
         top = max(best.values(), default=0)
-        out += [w for w in b if best[w] >= enough or (best[w] == top > 1 and top < enough)]
+        out += [w for w in b if best[w] >= enough or (0 < best[w] == top < enough)]
     return out
 
 
@@ -220,7 +236,7 @@ def fit(bags: list[set[str]], y: np.ndarray, seed: int = 0) -> Model:
     y = np.asarray(y, np.int64)
     prior = (y.sum() + 1) / (len(y) + 2)
     if len(np.unique(y)) < 2:
-        return Model(np.zeros(_CODES), 0.0, 0.0, float(np.log(prior / (1 - prior))))
+        return Model(np.zeros(_CODES), 0.0, 1.0, (-float(np.log(prior / (1 - prior))),))
     rng = np.random.default_rng(seed)
     clean: set[str] = set().union(*[b for b, t in zip(bags, y) if not t])
     seen = Counter(w for b, t in zip(bags, y) if t for w in b if w not in clean)
@@ -228,7 +244,7 @@ def fit(bags: list[set[str]], y: np.ndarray, seed: int = 0) -> Model:
     clean_words = sorted(w for w in clean if len(w) <= PIECE)
     everywhere = sorted({w for b in toxic for w in b})
     if not everywhere or not clean_words:
-        return Model(np.zeros(_CODES), 0.0, 0.0, float(np.log(prior / (1 - prior))))
+        return Model(np.zeros(_CODES), 0.0, 1.0, (-float(np.log(prior / (1 - prior))),))
 
     known = _telling(toxic, [b for b, t in zip(bags, y) if not t], len(y))
     model = None
@@ -262,25 +278,38 @@ def fit(bags: list[set[str]], y: np.ndarray, seed: int = 0) -> Model:
         alpha = root @ w[:-1]
         mw, mc, mv = subsequences(marks)
         norm = np.sqrt(np.maximum(np.bincount(mw, mv**2, len(marks)), 1e-12))
-        model = Model(np.bincount(mc, mv * (alpha / norm)[mw], _CODES), float(w[-1]), 1.0, 0.0)
+        model = Model(np.bincount(mc, mv * (alpha / norm)[mw], _CODES), float(w[-1]), 1.0, (0.0,))
 
     memory: dict[str, float] = {}
     new = sorted(set().union(*bags))
     memory.update(zip(new, model.margins(new).tolist()))
-    top = np.array([max([FLOOR, *map(memory.__getitem__, b)]) for b in bags])
-    # The threshold lies where both classes err least, in the middle of the gap if there is one.
-    order = np.argsort(top)
-    s, t = top[order], y[order]
-    miss = np.concatenate([[0], np.cumsum(t)]) / t.sum() + (len(t) - t.sum() - np.concatenate([[0], np.cumsum(1 - t)])) / (len(t) - t.sum())
-    best = np.flatnonzero(miss <= miss.min() + 1e-12)
+    means, edges, left = tops(bags, memory, MEANS), [], np.ones(len(y), bool)
+    for k in range(MEANS):
+        edge = _edge(means[left, k], y[left])
+        edges.append(edge)
+        left &= means[:, k] < edge
+    return Model(model.weight.astype(np.float32), model.bias, 4.0, tuple(edges))
+
+
+def _edge(values: np.ndarray, y: np.ndarray) -> float:
+    """The value that parts the classes with least error, a clean text counting WARY times; in the middle of a gap if there is one."""
+    order = np.argsort(values)
+    s, t = values[order], y[order]
+    if not t.any():
+        return float(s.max(initial=FLOOR)) + 1.0
+    lost = np.concatenate([[0], np.cumsum(t)])  # toxic texts below each cut
+    wrong = (1 - t).sum() - np.concatenate([[0], np.cumsum(1 - t)])
+    miss = lost + WARY * wrong
+    best = np.flatnonzero(miss <= miss.min())
     k = int(best[len(best) // 2])
-    edge = (s[max(0, k - 1)] + s[min(k, len(s) - 1)]) / 2
-    return Model(model.weight, model.bias, 4.0, -4.0 * float(edge))
+    if k == len(s):
+        return float(s[-1]) + 0.5
+    return float(s[max(0, k - 1)] + s[k]) / 2
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str = "doc_id") -> Model:
-    rows = sample(docs, labels, label, FOLDS, FOLD, TRAIN_ROWS, TRAIN_CHARS, id_col).toPandas().sort_values("doc_id")
-    return fit([words_of(t) for t in rows["text"]], rows["y"].to_numpy())
+    rows = sample(docs, labels, label, FOLDS, FOLD, TRAIN_ROWS, TRAIN_CHARS, id_col)
+    return fit_in_task(rows, lambda texts, y: fit([words_of(t) for t in texts], y))
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

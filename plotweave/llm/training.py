@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import pickle
 import zlib
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -34,3 +38,18 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, folds: int, fold: int
     found = docs.select(F.col(id_col).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).where(F.length("text") <= most_chars)
     found = found.join(F.broadcast(picked), F.col("doc_id") == F.col("lid"))  # at most 2 * rows ids
     return found.groupBy("doc_id").agg(F.first("text").alias("text"), F.max("y").alias("y"))
+
+
+def fit_in_task(rows: DataFrame, fit: Callable[[list[str], np.ndarray], object]) -> object:
+    """``fit(texts, classes)`` on a sample, in order of ids, run in one task: only the model comes to the driver.
+
+    The sample is bounded by its parameters, so one task can hold it; a lost executor has it fitted anew.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        parts = list(batches)
+        every = pd.concat(parts).sort_values("doc_id") if parts else pd.DataFrame({"doc_id": [], "text": [], "y": []})
+        yield pd.DataFrame({"model": [pickle.dumps(fit(every["text"].tolist(), every["y"].to_numpy(np.int64)))]})
+
+    made = rows.repartition(1).mapInPandas(run, "model binary").first()
+    return pickle.loads(made.model) if made else fit([], np.empty(0, np.int64))

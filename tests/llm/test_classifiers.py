@@ -75,7 +75,7 @@ def test_machine_is_the_kernel_machine():
     alpha = np.array([0.7, -0.2, 0.4])
     mw, mc, mv = toxicity.subsequences(marks)
     norm = np.sqrt(np.bincount(mw, mv**2, len(marks)))
-    model = toxicity.Model(np.bincount(mc, mv * (alpha / norm)[mw], toxicity._CODES), 0.1, 1.0, 0.0)
+    model = toxicity.Model(np.bincount(mc, mv * (alpha / norm)[mw], toxicity._CODES), 0.1, 1.0, (0.0,))
     assert np.allclose(model.margins(words), k @ alpha + 0.1, atol=1e-6)
 
 
@@ -130,3 +130,15 @@ def test_odd(odd, empty, odd_rows):
         assert module.score(empty, model).count() == 0
     kept = toxicity.reject(odd, t)
     assert kept.columns == odd.columns and toxicity.reject(empty, t).count() == 0
+
+
+def test_fit_in_task(spark, empty):
+    texts, y = bags(80)
+    docs = table(spark, list(enumerate(texts)))
+    labels = spark.createDataFrame([(i, 1, int(v)) for i, v in enumerate(y)], "doc_id long, quality int, toxic int")
+    model = toxicity.train(docs, labels)
+    kept = [i for i in range(80) if not training.held_out_id(i, 5, 0)]
+    here = toxicity.fit([toxicity.words_of(texts[i]) for i in kept], y[kept])
+    assert np.allclose(model.weight, here.weight, atol=1e-6) and np.allclose(model.edges, here.edges)
+    for module in (toxicity, quality):
+        assert module.score(docs, module.train(empty, labels)).count() == 80
