@@ -36,3 +36,26 @@ def test_odd(odd, empty, odd_rows):
     assert out.count() == len(odd_rows) and sorted(out.columns) == sorted(odd.columns)
     assert sorted((r.shard, r.slot) for r in out.collect()) == sorted((i % 3, i // 3) for i in range(len(odd_rows)))
     assert sharding.shuffle_shards(empty, 3).count() == 0
+
+
+def test_query_writes_whole_documents(spark, tmp_path, monkeypatch):
+    rows = [(i, prose(i, 20 + i % 50)) for i in range(200)] + [(None, None), (7, "")]
+    table(spark, rows).write.parquet(str(tmp_path / "documents.parquet"))
+    paths = []
+    put = sharding.write_shards
+    monkeypatch.setattr(sharding, "write_shards", lambda records, path, *a: (paths.append(path), put(records, path, *a)))
+    out = sharding.query(spark, str(tmp_path)).collect()
+    files = spark.read.parquet(paths[0])
+    assert sorted((r.doc_id or -1, r.text or "") for r in files.collect()) == sorted((i or -1, t or "") for i, t in rows)
+    assert {(r.doc_id, r.shard, r.slot) for r in out} == {(r.doc_id, r.shard, r.slot) for r in files.collect()}
+    assert {(r.shard, r.slot) for r in out} == {(k % 16, k // 16) for k in range(202)}
+    assert all(r.text_crc32 == zlib.crc32((rows[r.doc_id][1]).encode()) for r in out if r.doc_id and r.doc_id != 7)
+
+
+def test_buckets_hold_bytes_and_equal_rows_spread(spark):
+    docs = table(spark, [(i, prose(i, 400)) for i in range(100)] + [(500, "same text")] * 400)
+    gathered = sharding.shuffle_shards(docs, 4, bucket_bytes=4096)
+    ranks = {(r.doc_id, r.slot * 4 + r.shard) for r in gathered.collect()}
+    assert {k for _, k in ranks} == set(range(500)) and sum(i == 500 for i, _ in ranks) == 400
+    places = sorted(k for i, k in ranks if i == 500)
+    assert max(b - a for a, b in zip(places, places[1:])) < 40 and places[-1] - places[0] > 450
