@@ -25,8 +25,8 @@ CLASSES = BANDS * PLACES
 #: Classes that words outside the vocabulary share.
 RARE = 128
 REACH, DIM, HIDDEN = 3, 16, 24
-#: Rounds of training; in each, one position in STRIDE of every document is trained on.
-ROUNDS, STRIDE, BATCH, RATE = 2, 12, 2048, 0.08
+#: Rounds of training; in each, one position in STRIDE of every document is trained on, so all rounds together train on every position.
+ROUNDS, STRIDE, BATCH, RATE = 2, 2, 2048, 0.08
 _OFFSETS = [o for o in range(-REACH, REACH + 1) if o]
 _SHAPES = {
     "emb": (CLASSES + 1, DIM), "pos": (2 * REACH, DIM), "w": (DIM, HIDDEN), "b": (HIDDEN,),

@@ -62,3 +62,13 @@ def test_more_text_trains_better(spark):
     few, many = (table(spark, [(i, prose(i % 3, 200)) for i in range(n)]) for n in (6, 120))
     a, b = (np.mean([r.mean_log_prob for r in lm.pseudo_likelihood(d).collect()]) for d in (few, many))
     assert b > a
+
+
+def test_rounds_train_on_every_position(monkeypatch):
+    ids = [np.arange(k) % lm.CLASSES for k in (1, 2, 5, 40)]
+    _, at, _ = lm.padded_batch(ids)
+    seen = []
+    monkeypatch.setattr(lm, "gradient", lambda theta, padded, some: (seen.extend(some.tolist()), np.zeros(lm.SIZE, np.float32))[1])
+    for turn in range(lm.ROUNDS):
+        lm._train_partition(lm.initial(), iter([ids]), turn)
+    assert set(seen) == set(at.tolist())
