@@ -64,41 +64,53 @@ def graph_counts(graph: dict[str, DataFrame]) -> DataFrame:
     return rows.fillna(0, names).select("image_id", F.struct(*names).alias("graph"))
 
 
-def document(spark: SparkSession, image_id: str, commands: DataFrame, strokes: int, width_mm: float, height_mm: float, constants: dict[str, object], mode_used: str, model_path: str | None, notes: list[str], transform: dict, graph: dict[str, int]) -> DataFrame:
-    """One row ``(metrics)``: the whole document of one image as a nested struct with its nulls kept."""
+def _record(value: object) -> Column:
+    if isinstance(value, dict):
+        return F.struct(*[_record(v).alias(k) for k, v in value.items()])
+    if isinstance(value, list):
+        return F.array(*[F.lit(v) for v in value]).cast("array<string>")
+    return F.lit(value) if value is not None else F.lit(None).cast("string")
+
+
+def documents(commands: DataFrame, images: DataFrame, width_mm: float, height_mm: float, constants: dict[str, object], mode_used: str, model_path: str | None, notes: list[str]) -> DataFrame:
+    """``(image_id, metrics)`` for each row of ``images(image_id, strokes, transform, graph)``, with commands or without."""
     values = {k: float(constants[k]) for k in DEFAULTS}
-    own = commands.where(F.col("image_id") == image_id)
-    one = spark.range(1).select(F.lit(image_id).alias("image_id"))
-    m = times(one.join(distances(own), "image_id", "left").fillna(0, ["command_count", "mode_changes"]).fillna(0.0, ["draw_mm", "travel_mm"]), values)
-    m = m.join(first_fault(own, width_mm, height_mm), "image_id", "left")
+    m = times(images.join(distances(commands), "image_id", "left").fillna(0, ["command_count", "mode_changes"]).fillna(0.0, ["draw_mm", "travel_mm"]), values)
+    m = m.join(first_fault(commands, width_mm, height_mm), "image_id", "left")
     steps = values["FULL_STEPS_PER_REV"] * values["MICROSTEPS"] / (values["PULLEY_TEETH"] * values["BELT_PITCH_MM"])
 
-    def record(value: object) -> Column:
-        if isinstance(value, dict):
-            return F.struct(*[record(v).alias(k) for k, v in value.items()])
-        if isinstance(value, list):
-            return F.array(*[F.lit(v) for v in value]).cast("array<string>")
-        return F.lit(value) if value is not None else F.lit(None).cast("string")
-
     assumptions = {
         "speed_units": ASSUMPTIONS["speed_units"], "steps_per_mm_formula": ASSUMPTIONS["steps_per_mm_formula"], "steps_per_mm": steps,
         "draw_speed_mm_s": values["DRAW_SPEED"] / steps, "travel_speed_mm_s": values["TRAVEL_SPEED"] / steps,
         "pen_change_estimate": ASSUMPTIONS["pen_change_estimate"], "acceleration": ASSUMPTIONS["acceleration"],
     }
     return m.select(
+        "image_id",
         F.struct(
-            F.lit(SCHEMA).alias("schema"), F.col("command_count"), F.lit(strokes).alias("stroke_count"),
+            F.lit(SCHEMA).alias("schema"), F.col("command_count"), F.col("strokes").alias("stroke_count"),
             F.col("draw_mm").alias("pen_down_drawing_distance_mm"), F.col("travel_mm").alias("pen_up_travel_distance_mm"), (F.col("draw_mm") + F.col("travel_mm")).alias("total_movement_distance_mm"),
             F.col("draw_s").alias("estimated_draw_movement_time_s"), F.col("travel_s").alias("estimated_travel_movement_time_s"),
             F.col("pen_s").alias("estimated_pen_mode_change_settle_time_s"), F.col("total_s").alias("estimated_total_plotting_time_s"), F.col("mode_changes").alias("mode_change_count"),
             F.struct("min_x_mm", "max_x_mm", "min_y_mm", "max_y_mm").alias("command_bounds_mm"),
             F.col("error").isNull().alias("bounds_validation_passed"), F.col("error").alias("bounds_validation_error"),
-            F.lit(mode_used).alias("segmentation_mode_used"), record(model_path).alias("model_path_used"), record(notes).alias("segmentation_notes"),
-            record(graph).alias("graph"), record(transform).alias("gantry_mapping"), record(dict(constants)).alias("firmware_constants"), record(assumptions).alias("time_estimation_assumptions"),
+            F.lit(mode_used).alias("segmentation_mode_used"), _record(model_path).alias("model_path_used"), _record(notes).alias("segmentation_notes"),
+            F.col("graph"), F.col("transform").alias("gantry_mapping"), _record(dict(constants)).alias("firmware_constants"), _record(assumptions).alias("time_estimation_assumptions"),
         ).alias("metrics")
     )
 
 
+def document(spark: SparkSession, image_id: str, commands: DataFrame, strokes: int, width_mm: float, height_mm: float, constants: dict[str, object], mode_used: str, model_path: str | None, notes: list[str], transform: dict, graph: dict[str, int]) -> DataFrame:
+    """One row ``(metrics)``: the whole document of one image as a nested struct with its nulls kept."""
+    one = spark.range(1).select(F.lit(image_id).alias("image_id"), F.lit(strokes).alias("strokes"), _record(transform).alias("transform"), _record(graph).alias("graph"))
+    own = commands.where(F.col("image_id") == image_id)
+    return documents(own, one, width_mm, height_mm, constants, mode_used, model_path, notes).select("metrics")
+
+
+def stroke_counts(commands: DataFrame) -> DataFrame:
+    """``(image_id, strokes)``: runs of drawing commands of each image."""
+    return with_moves(commands).groupBy("image_id").agg(F.count_if(F.col("changed") & (F.col("mode") == 1)).alias("strokes"))
+
+
 def as_json(metrics: DataFrame) -> str:
     """The document of a one-row table as JSON, two spaces deep, nulls kept."""
     return json.dumps(metrics.first().metrics.asDict(recursive=True), indent=2)

@@ -523,11 +523,13 @@ def bounds_passed(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def metrics_json(spark: SparkSession, d: str) -> DataFrame:
-    own = ad.commands(spark, d).where("image_id = 1").withColumn("image_id", F.lit("1"))
-    t = mapping.transforms(ad.sizes(ad.paths(spark, d)).where("image_id = 1"), GANTRY_AREA).first().transform.asDict()
-    graph = {n: 0 for n in ("vertex_count", "edge_count", "skeleton_pixel_count", "endpoint_count", "junction_pixel_count", "corner_pixel_count")}
-    doc = metrics.document(spark, "1", own, 1, 1000.0, 1000.0, dict(firmware.DEFAULTS), "heuristic", None, [], t, graph)
-    return doc.select(F.to_json("metrics", {"ignoreNullFields": "false"}).alias("json"))
+    own = ad.commands(spark, d)
+    names = ("vertex_count", "edge_count", "skeleton_pixel_count", "endpoint_count", "junction_pixel_count", "corner_pixel_count")
+    # Events have no skeleton, so no graph to count.
+    graph = F.struct(*[F.lit(0).alias(n) for n in names]).alias("graph")
+    images = mapping.transforms(ad.sizes(ad.paths(spark, d)), GANTRY_AREA).join(metrics.stroke_counts(own), "image_id").select("*", graph)
+    docs = metrics.documents(own, images, 1000.0, 1000.0, dict(firmware.DEFAULTS), "heuristic", None, [])
+    return docs.select("image_id", F.to_json("metrics", {"ignoreNullFields": "false"}).alias("json"))
 
 
 # Sources, plug-ins, device

@@ -165,3 +165,17 @@ def test_send():
 def test_cli():
     args = parser().parse_args(["--image", "a", "--output-dir", "b"])
     assert (args.threshold, args.work_width_mm, args.work_height_mm, args.margin_mm, args.segmentation_mode) == (127, 150.0, 270.0, 5.0, "auto")
+
+
+def test_metrics_json_covers_every_image(spark):
+    from plotweave.plans import adapters, queries
+
+    d = "/root/testdata/sf0.001"
+    docs = {r.image_id: json.loads(r.json) for r in queries.metrics_json(spark, d).collect()}
+    own = {}
+    for r in adapters.commands(spark, d).orderBy("image_id", "cmd_idx").collect():
+        own.setdefault(r.image_id, []).append(r.mode)
+    assert set(docs) == set(own) and len(own) == 4
+    for i, modes in own.items():
+        assert docs[i]["command_count"] == len(modes)
+        assert docs[i]["stroke_count"] == sum(m == 1 and (k == 0 or modes[k - 1] != 1) for k, m in enumerate(modes))
