@@ -14,6 +14,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _DEFAULT: dict[str, str] = {}
+_LEFT: dict[str, SparkSession] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -30,10 +31,14 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def _remove_at_exit(spark: SparkSession, path: str) -> None:
-    def remove() -> None:
-        delete_path(spark, path)
+    if not _LEFT:
+        atexit.register(_remove_left)
+    _LEFT[path] = spark
+
 
-    atexit.register(remove)
+def _remove_left() -> None:
+    for path, spark in list(_LEFT.items()):
+        delete_path(spark, path)
 
 
 def delete_path(spark: SparkSession, path: str) -> None:
@@ -43,6 +48,7 @@ def delete_path(spark: SparkSession, path: str) -> None:
         return
     p = sc._jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(sc._jsc.hadoopConfiguration()).delete(p, True)
+    _LEFT.pop(path, None)
 
 
 def new_path(spark: SparkSession, name: str) -> str:
@@ -60,4 +66,14 @@ def materialise(df: DataFrame, name: str, partition_by: list[str] | None = None)
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete what ``materialise`` wrote for these; for tables that nothing reads any more."""
+    for df in tables:
+        path = df.__dict__.pop("stored_at", None)
+        if path:
+            delete_path(df.sparkSession, path)

@@ -1,3 +1,4 @@
+import os
 import subprocess
 import sys
 from pathlib import Path
@@ -16,17 +17,22 @@ def test_names_need_no_session():
     assert int(out[0]) >= len(QUERIES) and int(out[1]) >= len(SQL)
 
 
-def test_works_without_the_corpus_package(tmp_path):
-    """Without the llm folders and the pipeline the entry still imports and has all other queries."""
+@pytest.mark.parametrize("with_path", [False, True])
+@pytest.mark.parametrize("left", ["nothing", "pipeline", "empty folder"])
+def test_works_without_the_corpus_package(tmp_path, left, with_path):
+    """Without the llm folders, with or without the pipeline's file, the entry has all other queries."""
     for p in ROOT.iterdir():
-        if p.name not in ("plotweave", "corpus_pipeline.py", ".git"):
+        if p.name not in ("plotweave", "tests", ".git") and (p.name != "corpus_pipeline.py" or left == "pipeline"):
             (tmp_path / p.name).symlink_to(p)
     (tmp_path / "plotweave").mkdir()
     for p in (ROOT / "plotweave").iterdir():
         if p.name != "llm":
             (tmp_path / "plotweave" / p.name).symlink_to(p)
+    if left == "empty folder":
+        (tmp_path / "plotweave/llm/__pycache__").mkdir(parents=True)
     code = "import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()))"
-    out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, check=True).stdout.split()
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"} | ({"PYTHONPATH": str(tmp_path)} if with_path else {})
+    out = subprocess.run([sys.executable, "-B", "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, check=True).stdout.split()
     assert (int(out[0]), int(out[1])) == (len(QUERIES), len(SQL))
 
 
