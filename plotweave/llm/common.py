@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,10 +20,15 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def bounded_arrow(spark: SparkSession, rows: int = 1024) -> None:
-    """Keep Arrow batches small: texts may be very long, and a batch must fit in a Python worker."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+def slices(column: pa.Array, rows: int = 256, size: int = 4 << 20) -> Iterator[list[str | None]]:
+    """The values of an Arrow column of texts, as lists of at most ``rows`` values and about ``size`` bytes; one value at least."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False))
+    at = 0
+    while at < len(column):
+        before = ends[at - 1] if at else 0
+        upto = max(at + 1, min(at + rows, int(np.searchsorted(ends, before + size, "right"))))
+        yield column.slice(at, upto - at).to_pylist()
+        at = upto
 
 
 def if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
@@ -29,6 +39,11 @@ def if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def row_key(id_col: str, text_col: str) -> list[Column]:
+    """Two 64-bit hashes of id and text, ``r1`` and ``r2``: 128 bits that name a row; rows alike in both are one."""
+    return [F.xxhash64(F.lit(k), F.col(id_col), F.col(text_col)).alias(f"r{k}") for k in (1, 2)]
+
+
 def words(text: Column) -> Column:
     """Words of a text as an array, without empty ones; null gives an empty array."""
     bare = F.btrim(F.coalesce(text, F.lit("")), F.lit(" \t\n\x0b\f\r"))
