@@ -1,40 +1,65 @@
 """Language-model scores by masked pseudo-likelihood (operator 3).
 
-A small network predicts every word of a text from the REACH words on each side, never from itself.  A text's score is the
-sum of the words' conditional log-probabilities.  Words are counted over all documents; the most frequent ones are classes
-of their own and the others share classes by a hash.  Classes are pairs (band, place), so that two short softmax layers make
-a distribution over all of them.  Every partition of the corpus trains a copy in numpy on its documents, and copies are
-averaged by numbers of words, for ROUNDS rounds; the sums are made by Spark, only one set of parameters reaches the driver.
+Every word of a text is predicted from the REACH words on each side, never from itself; a text's score is the sum of the words'
+conditional log-probabilities.  All words of the corpus, in order of spelling, are cut into BANDS bands of about equal token
+counts.  A small window network in numpy gives the probability of each band from the context, and a word's share in its band is its
+count over the whole corpus: P(word | context) = P(band | context) * count(word) / count(band).  So each word has a
+probability of its own, however rare, and all of them sum to one.  As context, the VOCABULARY most frequent words have vectors of
+their own and others share one a band, that is of their spelling.
+
+Training goes through the corpus once, in STEPS steps: a hash of id and text deals the rows to steps, each step sums the gradient over all
+positions of its rows, wherever they lie, and the driver moves the parameters.  So they depend on the rows, but for rounding not on
+partitions.  Counts of words outside the vocabulary are joined as tables; they never come to the driver.
 """
 
 from __future__ import annotations
 
-import zlib
+from bisect import bisect_right
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plotweave.llm.common import bounded_arrow, read, words
-from plotweave.storage import materialise
+from plotweave.llm.common import read, slices, words
+from plotweave.storage import discard, materialise
 
-BANDS, PLACES = 32, 32
-CLASSES = BANDS * PLACES
-#: Classes that words outside the vocabulary share.
-RARE = 128
-REACH, DIM, HIDDEN = 3, 16, 24
-#: Rounds of training; in each, one position in STRIDE of every document is trained on, so all rounds together train on every position.
-ROUNDS, STRIDE, BATCH, RATE = 2, 2, 2048, 0.08
+VOCABULARY, BANDS = 32_000, 256
+REACH, DIM, HIDDEN = 3, 16, 16
+STEPS, RATE = 24, 0.12
+#: Positions that are worked on at once; words outside the vocabulary that a Python worker remembers; sums added up in a task.
+PIECE, REMEMBERED, FAN = 8_192, 400_000, 32
 _OFFSETS = [o for o in range(-REACH, REACH + 1) if o]
-_SHAPES = {
-    "emb": (CLASSES + 1, DIM), "pos": (2 * REACH, DIM), "w": (DIM, HIDDEN), "b": (HIDDEN,),
-    "u": (HIDDEN, BANDS), "ub": (BANDS,), "v": (HIDDEN, PLACES), "vb": (BANDS, PLACES),
-}
+#: The id that stands for what lies beyond a text's ends; its vector is zero.
+OUTSIDE = VOCABULARY + BANDS
+_SHAPES = {"emb": (OUTSIDE + 1, DIM), "pos": (2 * REACH, DIM), "w": (DIM, HIDDEN), "b": (HIDDEN,), "u": (HIDDEN, BANDS), "ub": (BANDS,)}
 SIZE = sum(int(np.prod(s)) for s in _SHAPES.values())
-#: The class that stands for what lies beyond a text's ends; its vector is zero.
-OUTSIDE = CLASSES
+
+
+@dataclass
+class Lexicon:
+    """Vocabulary with its counts, the first word of each band but the first, and the token count of each band."""
+
+    words: list[str]
+    counts: np.ndarray
+    starts: list[str]
+    totals: np.ndarray
+
+    def band(self, word: str) -> int:
+        return bisect_right(self.starts, word)
+
+    def bands(self) -> np.ndarray:
+        """The band of each id."""
+        return np.array([*map(self.band, self.words), *[0] * (VOCABULARY - len(self.words)), *range(BANDS), 0], np.int64)
+
+    def shares(self) -> np.ndarray:
+        """What each id adds to a word's log-probability besides the band's; for words outside the vocabulary without their own count."""
+        own = np.zeros(OUTSIDE + 1)
+        own[: len(self.words)] = np.log(self.counts)
+        return own - np.log(np.maximum(self.totals, 1))[self.bands()]
 
 
 def unpack(theta: np.ndarray) -> dict[str, np.ndarray]:
@@ -47,198 +72,263 @@ def unpack(theta: np.ndarray) -> dict[str, np.ndarray]:
     return out
 
 
-def initial(seed: int = 0) -> np.ndarray:
+def initial(totals: np.ndarray | None = None, seed: int = 0) -> np.ndarray:
+    """Parameters that predict each band by its share in the corpus, whatever the context, but for a little noise."""
     theta = np.zeros(SIZE, np.float32)
     p, rng = unpack(theta), np.random.default_rng(seed)
-    p["emb"][:] = rng.normal(0, 0.3, p["emb"].shape)
-    p["emb"][OUTSIDE] = 0
+    p["emb"][:OUTSIDE] = rng.normal(0, 0.1, (OUTSIDE, DIM))
     p["pos"][:] = 1
-    for name in ("w", "u", "v"):
-        p[name][:] = rng.normal(0, p[name].shape[0] ** -0.5, p[name].shape)
+    p["w"][:] = rng.normal(0, DIM**-0.5, p["w"].shape)
+    p["u"][:] = rng.normal(0, 0.05, p["u"].shape)
+    if totals is not None:
+        p["ub"][:] = np.log((totals + 0.5) / (totals + 0.5).sum())
     return theta
 
 
-def _hidden(p: dict[str, np.ndarray], padded: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Context sums and hidden layer for the positions ``at`` of ``padded``."""
-    c = np.zeros((len(at), DIM), np.float32)
+def _forward(p: dict[str, np.ndarray], window: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Vectors, context sums, hidden layer and log-probabilities of the bands for all places of ``window`` but REACH at each end."""
+    n = len(window) - 2 * REACH
+    e = p["emb"][window]
+    c = np.zeros((n, DIM), e.dtype)
     for k, o in enumerate(_OFFSETS):
-        c += p["emb"][padded[at + o]] * p["pos"][k]
-    return c, np.tanh(c @ p["w"] + p["b"])
-
-
-def _softmax(z: np.ndarray) -> np.ndarray:
-    z = np.exp(z - z.max(1, keepdims=True))
-    return z / z.sum(1, keepdims=True)
-
-
-def log_probs(theta: np.ndarray, padded: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Log-probability of each class at positions ``at`` given its neighbours; ``padded`` has REACH outside classes around each text."""
-    p, out = unpack(theta), np.empty(len(at), np.float64)
-    for i in range(0, len(at), 8192):
-        some = at[i : i + 8192]
-        ids = padded[some]
-        band, place = ids // PLACES, ids % PLACES
-        _, h = _hidden(p, padded, some)
-        row = np.arange(len(some))
-        total = np.zeros(len(some))
-        for z, pick in ((h @ p["u"] + p["ub"], band), (h @ p["v"] + p["vb"][band], place)):
-            z -= z.max(1, keepdims=True)
-            total += z[row, pick] - np.log(np.exp(z).sum(1))
-        out[i : i + 8192] = total
+        c += e[REACH + o : REACH + o + n] * p["pos"][k]
+    h = np.tanh(c @ p["w"] + p["b"])
+    z = h @ p["u"]
+    z += p["ub"]
+    z -= z.max(1, keepdims=True)
+    z -= np.log(np.exp(z).sum(1, keepdims=True))
+    return e, c, h, z
+
+
+def windows(padded: np.ndarray) -> Iterator[np.ndarray]:
+    """``padded`` in overlapping windows of at most PIECE places to be predicted each."""
+    for at in range(REACH, len(padded) - REACH, PIECE):
+        yield padded[at - REACH : min(at + PIECE, len(padded) - REACH) + REACH]
+
+
+def log_probs(theta: np.ndarray, padded: np.ndarray, bands: np.ndarray) -> np.ndarray:
+    """Log-probability of the band that stands at each place of ``padded``, given its neighbours; 0 outside of texts."""
+    p, out = unpack(theta), np.zeros(len(padded))
+    at = REACH
+    for window in windows(padded):
+        z = _forward(p, window)[3]
+        mid = window[REACH : REACH + len(z)]
+        out[at : at + len(z)] = np.where(mid == OUTSIDE, 0, z[np.arange(len(z)), bands[mid]])
+        at += len(z)
     return out
 
 
-def gradient(theta: np.ndarray, padded: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Gradient of the mean negative log-probability over positions ``at``."""
-    p, out = unpack(theta), np.zeros(SIZE, np.float32)
-    g, n = unpack(out), len(at)
-    ids = padded[at]
-    band, place, row = ids // PLACES, ids % PLACES, np.arange(n)
-    c, h = _hidden(p, padded, at)
-    d1 = _softmax(h @ p["u"] + p["ub"])
-    d1[row, band] -= 1
-    d2 = _softmax(h @ p["v"] + p["vb"][band])
-    d2[row, place] -= 1
-    d1 /= n
-    d2 /= n
-    g["u"][:], g["ub"][:], g["v"][:] = h.T @ d1, d1.sum(0), h.T @ d2
-    one = np.zeros((BANDS, n), np.float32)
-    one[band, row] = 1
-    g["vb"][:] = one @ d2
-    dz = (d1 @ p["u"].T + d2 @ p["v"].T) * (1 - h * h)
-    g["w"][:], g["b"][:] = c.T @ dz, dz.sum(0)
-    dc = dz @ p["w"].T
-    for k, o in enumerate(_OFFSETS):
-        other = padded[at + o]
-        g["pos"][k] = (dc * p["emb"][other]).sum(0)
-        back = dc * p["pos"][k]
-        order = np.argsort(other, kind="stable")
-        first = np.flatnonzero(np.diff(other[order], prepend=-1))
-        g["emb"][other[order][first]] += np.add.reduceat(back[order], first, axis=0)
+def gradient(theta: np.ndarray, padded: np.ndarray, bands: np.ndarray) -> np.ndarray:
+    """Gradient of the negative log-probability summed over all places in texts, with 64 bits."""
+    p, total = unpack(theta), np.zeros(SIZE)
+    g = unpack(total)
+    for window in windows(padded):
+        e, c, h, z = _forward(p, window)
+        n = len(z)
+        mid = window[REACH : REACH + n]
+        d = np.exp(z, out=z)
+        d[np.arange(n), bands[mid]] -= 1
+        d[mid == OUTSIDE] = 0
+        g["u"] += h.T @ d
+        g["ub"] += d.sum(0)
+        dz = (d @ p["u"].T) * (1 - h * h)
+        g["w"] += c.T @ dz
+        g["b"] += dz.sum(0)
+        dc = dz @ p["w"].T
+        back = np.zeros_like(e)
+        for k, o in enumerate(_OFFSETS):
+            place = slice(REACH + o, REACH + o + n)
+            g["pos"][k] += (dc * e[place]).sum(0)
+            back[place] += dc * p["pos"][k]
+        order = np.argsort(window, kind="stable")
+        first = np.flatnonzero(np.diff(window[order].astype(np.int32), prepend=-1))
+        g["emb"][window[order][first]] += np.add.reduceat(back[order], first, axis=0)
     g["emb"][OUTSIDE] = 0
-    return out
+    return total
 
 
-def vocabulary(docs: DataFrame, text_col: str = "text") -> list[str]:
-    """The most frequent lower-case words of all documents, by falling count, ties by word."""
-    counts = docs.select(F.explode(words(F.lower(F.col(text_col)))).alias("w")).groupBy("w").count()
-    return [r.w for r in counts.orderBy(F.desc("count"), "w").limit(CLASSES - RARE).collect()]
+def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """``(word, n)``: how often each lower-case word occurs in all documents."""
+    return docs.select(F.explode(words(F.lower(F.col(text_col)))).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
 
 
-class Classes:
-    """Classes of words: the place in the vocabulary, or one of the RARE last ones by a hash."""
+def lexicon(counts: DataFrame) -> Lexicon:
+    """The vocabulary by falling count, ties by word, bands of about equal counts in it, and the bands' counts of all words."""
+    top = counts.orderBy(F.desc("n"), "word").limit(VOCABULARY).collect()
+    known = sorted((r.word, r.n) for r in top)
+    total, sofar, starts = sum(n for _, n in known), 0, []
+    for i, (word, n) in enumerate(known):
+        if i and sofar * BANDS >= (len(starts) + 1) * total and len(starts) < BANDS - 1:
+            starts.append(word)
+        sofar += n
+    made = Lexicon([r.word for r in top], np.array([r.n for r in top], np.int64), starts, np.zeros(BANDS, np.int64))
 
-    def __init__(self, vocabulary: list[str]) -> None:
-        self.known = {w: i for i, w in enumerate(vocabulary)}
-        self.size = len(self.known)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros(BANDS, np.int64)
+        for b in batches:
+            band = np.fromiter((bisect_right(starts, w) for w in b.column(0).to_pylist()), np.int64, b.num_rows)
+            np.add.at(sums, band, b.column(1).to_numpy())
+        yield pa.record_batch([pa.array(np.arange(BANDS)), pa.array(sums)], ["band", "n"])
+
+    for r in counts.mapInArrow(run, "band long, n long").groupBy("band").agg(F.sum("n").alias("n")).collect():
+        made.totals[r.band] = r.n
+    return made
+
+
+class Coder:
+    """Ids of the words of texts, and the hashes of the words outside the vocabulary."""
 
-    def ids(self, text: str | None) -> np.ndarray:
+    def __init__(self, lexicon: Lexicon) -> None:
+        self.lexicon = lexicon
+        self._clear()
+
+    def _clear(self) -> None:
+        self.known = {w: i for i, w in enumerate(self.lexicon.words)}
+        self.size = len(self.known)
+        self.ids = np.arange(1 << 16)
+        self.hashes = np.zeros(1 << 16, np.int64)
+
+    def _learn(self, parts: list[str]) -> None:
+        known, n = self.known, len(self.known)
+        new = [w for w in dict.fromkeys(parts) if w not in known]
+        while n + len(new) > len(self.ids):
+            self.ids, self.hashes = (np.concatenate([a, np.zeros_like(a)]) for a in (self.ids, self.hashes))
+        known.update(zip(new, range(n, n + len(new))))
+        self.ids[n : n + len(new)] = [VOCABULARY + self.lexicon.band(w) for w in new]
+        self.hashes[n : n + len(new)] = np.array([xxhash.xxh64_intdigest(w.encode("utf-8", "replace"), 42) for w in new], np.uint64).view(np.int64)
+
+    def code(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of a text's words, and the hashes (Spark's) of those outside the vocabulary, in order."""
         parts = _split((text or "").lower())
-        known = self.known
+        if len(self.known) > self.size + REMEMBERED:
+            self._clear()
         try:
-            return np.fromiter([known[w] for w in parts], np.uint16, len(parts))
+            at = np.fromiter(map(self.known.__getitem__, parts), np.int64, len(parts))
         except KeyError:
-            pass
-        if len(known) > self.size + 300_000:
-            self.known = known = dict(list(known.items())[: self.size])
-        for w in parts:
-            if w not in known:
-                known[w] = CLASSES - RARE + zlib.crc32(w.encode("utf-8", "replace")) % RARE
-        return np.fromiter([known[w] for w in parts], np.uint16, len(parts))
+            self._learn(parts)
+            at = np.fromiter(map(self.known.__getitem__, parts), np.int64, len(parts))
+        return self.ids[at].astype(np.uint16), self.hashes[at[at >= self.size]]
 
 
 def _split(text: str) -> list[str]:
-    """Words between ASCII white space, as the vocabulary was made."""
+    """Words between ASCII white space, as they were counted."""
     if text.isascii() and not any(c in text for c in "\x1c\x1d\x1e\x1f"):
         return text.split()
     return [w.decode("utf-8") for w in text.encode("utf-8", "replace").split()]
 
 
-def padded_batch(ids: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """One array of classes with REACH outside ones around each text, the positions of words, and each text's length."""
+def padded_batch(ids: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """One array of ids with REACH outside ones around each text, and where each text's words begin and end, a row each."""
     sizes = np.array([len(x) for x in ids], np.int64)
-    out = np.full(int(sizes.sum()) + REACH * (len(ids) + 1), OUTSIDE, np.int64)
-    doc = np.repeat(np.arange(len(ids)), sizes)
-    at = np.arange(len(doc)) + REACH * (doc + 1)
-    if len(at):
-        out[at] = np.concatenate(ids)
-    return out, at, sizes
-
-
-def _train_partition(theta: np.ndarray, batches: Iterator[list[np.ndarray]], turn: int) -> tuple[np.ndarray, int]:
-    """Adagrad over one position in STRIDE of each text, another in each round; returns parameters and words seen."""
-    theta, square, seen = theta.copy(), np.full(SIZE, 1e-6, np.float32), 0
-    for ids in batches:
-        padded, at, sizes = padded_batch(ids)
-        seen += len(at)
-        place = np.arange(len(at)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-        doc = np.repeat(np.arange(len(ids)), sizes)
-        some = at[(place + doc + turn * (STRIDE // ROUNDS)) % STRIDE == 0]
-        for i in range(0, len(some), BATCH):
-            g = gradient(theta, padded, some[i : i + BATCH])
-            square += g * g
-            theta -= RATE * g / np.sqrt(square)
-    return theta, seen
-
-
-def train(coded: DataFrame) -> np.ndarray:
-    """Parameters trained on all rows of ``coded(ids)``."""
-    spark, theta = coded.sparkSession, initial()
-    for turn in range(ROUNDS):
-        shared = spark.sparkContext.broadcast(theta)
-
-        def run(batches: Iterator[pa.RecordBatch], turn: int = turn, shared=shared) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
-            rows = ([np.frombuffer(x.as_buffer(), "<u2") for x in b.column(0)] for b in batches)
-            own, seen = _train_partition(shared.value, rows, turn)
-            if seen:
-                k = np.arange(SIZE + 1, dtype=np.int32)
-                yield pa.record_batch([pa.array(k), pa.array(np.append(own.astype(np.float64) * seen, seen))], ["k", "s"])
-
-        total = coded.select("ids").mapInArrow(run, "k int, s double").groupBy("k").agg(F.sum("s").alias("s")).toPandas()
-        if not len(total):
-            return theta
-        sums = np.zeros(SIZE + 1)
-        sums[total["k"]] = total["s"]
-        theta = (sums[:-1] / sums[-1]).astype(np.float32)
-    return theta
+    ends = np.cumsum(sizes + REACH)
+    out = np.full(int(sizes.sum()) + REACH * (len(ids) + 1), OUTSIDE, np.uint16)
+    for x, e in zip(ids, ends):
+        out[e - len(x) : e] = x
+    return out, np.stack([ends - sizes, ends], axis=1)
 
 
-def code(docs: DataFrame, vocabulary: list[str], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(doc_id, ids)``: classes of the words of each row's text, 16 bits each."""
-    bounded_arrow(docs.sparkSession, 1024)
-    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
+def code(docs: DataFrame, lexicon: Lexicon, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``(row, doc_id, ids, rare, step)`` for each row: a number, ids of 16 bits, hashes of rare words, the step that trains on it."""
+    shared = docs.sparkSession.sparkContext.broadcast(lexicon)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        classes = Classes(shared.value)
+        coder = Coder(shared.value)
         for b in batches:
-            data = [classes.ids(t).astype("<u2").tobytes() for t in b.column(1).to_pylist()]
-            yield pa.record_batch([b.column(0), pa.array(data, pa.binary())], ["doc_id", "ids"])
+            done = 0
+            for texts in slices(b.column(3)):
+                made = [coder.code(t) for t in texts]
+                rest = b.slice(done, len(texts))
+                done += len(texts)
+                ends = np.cumsum([0, *[len(r) for _, r in made]])
+                rare = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([r for _, r in made])))
+                yield pa.record_batch([rest.column(0), rest.column(1), pa.array([i.tobytes() for i, _ in made], pa.binary()), rare, rest.column(2)], ["row", "doc_id", "ids", "rare", "step"])
+
+    own, text = F.col(id_col).cast("long"), F.col(text_col)
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), own.alias("doc_id"), F.pmod(F.xxhash64(F.lit(3), own, text), F.lit(STEPS)).cast("int").alias("step"), text.alias("text"))
+    return rows.mapInArrow(run, "row long, doc_id long, ids binary, rare array<long>, step int")
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, ids binary")
+
+def _batches(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[np.ndarray, np.ndarray, pa.RecordBatch]]:
+    """Padded ids, places of the texts in them, and the rows, for some rows at a time."""
+    for b in batches:
+        for at in range(0, b.num_rows, 64):
+            part = b.slice(at, 64)
+            yield *padded_batch([np.frombuffer(x.as_buffer(), "<u2") for x in part.column(column)]), part
+
+
+def _summed(parts: DataFrame) -> tuple[np.ndarray, int]:
+    """The sum of rows ``(sums, n)`` of 64-bit vectors, added up by FAN in tasks until one is left."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, n = np.zeros(SIZE), 0
+        for b in batches:
+            for x, k in zip(b.column(0), b.column(1).to_pylist()):
+                total += np.frombuffer(x.as_buffer(), np.float64)
+                n += k
+        yield pa.record_batch([pa.array([total.tobytes()], pa.binary()), pa.array([n], pa.int64())], ["sums", "n"])
+
+    left = parts.rdd.getNumPartitions()
+    while left > 1:
+        left = -(-left // FAN)
+        parts = parts.repartition(left).mapInArrow(run, "sums binary, n long")
+    rows = parts.collect()
+    return sum((np.frombuffer(r.sums) for r in rows), np.zeros(SIZE)), sum(r.n for r in rows)
+
+
+def train(coded: DataFrame, lexicon: Lexicon) -> np.ndarray:
+    """Parameters trained on every position of all rows of ``coded(ids, step)``: a step of Adam for each of STEPS parts of the rows."""
+    spark, theta, bands = coded.sparkSession, initial(lexicon.totals), lexicon.bands()
+    mean, square = np.zeros(SIZE), np.zeros(SIZE)
+    for step in range(STEPS):
+        shared = spark.sparkContext.broadcast((theta, bands))
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
+            total, n = np.zeros(SIZE), 0
+            for padded, places, _ in _batches(batches, 0):
+                total += gradient(shared.value[0], padded, shared.value[1])
+                n += int((places[:, 1] - places[:, 0]).sum())
+            if n:
+                yield pa.record_batch([pa.array([total.tobytes()], pa.binary()), pa.array([n], pa.int64())], ["sums", "n"])
+
+        g, n = _summed(coded.where(F.col("step") == step).select("ids").mapInArrow(run, "sums binary, n long"))
+        shared.destroy()
+        if not n:
+            continue
+        g /= n
+        mean, square = 0.8 * mean + 0.2 * g, 0.95 * square + 0.05 * g * g
+        rate = RATE * (1 - 0.9 * step / STEPS)
+        theta = (theta - rate * (mean / (1 - 0.8 ** (step + 1))) / (np.sqrt(square / (1 - 0.95 ** (step + 1))) + 1e-7)).astype(np.float32)
+    return theta
 
 
 def pseudo_likelihood(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(doc_id, n_words, log_prob, mean_log_prob)`` for each row, by a model trained on all rows of ``docs``.
 
-    A text without words (null, empty, blank) has log_prob 0 and a null mean.  Null and repeated ids are kept, other
-    columns are ignored.  Parameters depend on how rows lie in partitions; classes and counts don't.
+    A text without words (null, empty, blank) has log_prob 0 and a null mean.  Null and repeated ids are kept, and equal rows
+    have equal scores, but for rounding.  Texts of any length are scored whole, in pieces of PIECE places that overlap.  Other columns are ignored, whatever
+    their names.  An empty table gives an empty result.
     """
     spark = docs.sparkSession
-    coded = materialise(code(docs, vocabulary(docs, text_col), id_col, text_col), "coded")
-    shared = spark.sparkContext.broadcast(train(coded))
+    counts = materialise(word_counts(docs, text_col), "counts")
+    lex = lexicon(counts)
+    coded = materialise(code(docs, lex, id_col, text_col), "coded", ["step"])
+    shared = spark.sparkContext.broadcast((train(coded, lex), lex.bands(), lex.shares()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            padded, at, sizes = padded_batch([np.frombuffer(x.as_buffer(), "<u2") for x in b.column(1)])
-            each = log_probs(shared.value, padded, at)
-            ends = np.cumsum(sizes)
-            sums = np.concatenate([[0.0], np.cumsum(each)])
-            total = sums[ends] - sums[ends - sizes]
-            mean = pa.array(total / np.maximum(sizes, 1), mask=sizes == 0)
-            yield pa.record_batch([b.column(0), pa.array(sizes), pa.array(total), mean], ["doc_id", "n_words", "log_prob", "mean_log_prob"])
-
-    return coded.mapInArrow(run, "doc_id long, n_words long, log_prob double, mean_log_prob double")
+        theta, bands, share = shared.value
+        for padded, places, rows in _batches(batches, 2):
+            sums = np.concatenate([[0.0], np.cumsum(log_probs(theta, padded, bands) + np.where(padded == OUTSIDE, 0, share[padded]))])
+            yield pa.record_batch([rows.column(0), rows.column(1), pa.array(places[:, 1] - places[:, 0]), pa.array(sums[places[:, 1]] - sums[places[:, 0]])], ["row", "doc_id", "n_words", "known"])
+
+    scored = coded.select("row", "doc_id", "ids").mapInArrow(run, "row long, doc_id long, n_words long, known double")
+    by_hash = counts.groupBy(F.xxhash64("word").alias("ch")).agg(F.sum("n").alias("n"))
+    rare = coded.select("row", F.explode("rare").alias("h")).join(by_hash, F.col("h") == F.col("ch"))
+    rare = rare.groupBy(F.col("row").alias("rrow")).agg(F.sum(F.log("n")).alias("counted"))
+    both = scored.join(rare, F.col("row") == F.col("rrow"), "left").withColumn("log_prob", F.col("known") + F.coalesce("counted", F.lit(0.0)))
+    out = both.select("doc_id", "n_words", "log_prob", F.when(F.col("n_words") > 0, F.col("log_prob") / F.col("n_words")).alias("mean_log_prob"))
+    out = materialise(out, "scores")
+    discard(coded, counts)
+    return out
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
