@@ -116,7 +116,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY,
     small = known.n <= INDEX_ITEMS and known.places <= BROADCAST_ROWS
     own = items.select(F.col("item_id").alias("iid"), "ish")
     pairs = asked.join(F.broadcast(index) if small else index, near).select("w1", "w2", "wsh", "item_id")
-    pairs = pairs.join(F.broadcast(own) if small else own, F.col("item_id") == F.col("iid"))
+    pairs = pairs.join(F.broadcast(own) if small else own, F.col("item_id").eqNullSafe(F.col("iid")))
     common = "aggregate(array_distinct(ish), 0, (a, x) -> a + least(size(filter(ish, y -> y = x)), size(filter(wsh, y -> y = x))))"
     scored = pairs.withColumn("m", F.expr(common)).withColumn("similarity", F.col("m") / (F.size("wsh") + F.size("ish") - F.col("m")))
     good = materialise(scored.where(F.col("similarity") >= similarity).select("w1", "w2", "item_id", "similarity").distinct(), "good")

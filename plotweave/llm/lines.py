@@ -1,9 +1,9 @@
 """Line dedup by content-defined chunks (operator 8), DataFrame functions only.
 
-A rolling hash over the hashes of WINDOW neighbouring lines chooses the chunk boundaries, so they move with the text and a
-passage is cut alike wherever it stands.  A line of LONG_CHARS characters or more is a paragraph stored as one line and makes a
-chunk of its own.  Chunks of several lines that occur more than once in the corpus are found by hash, compared byte by byte with
-the first occurrence, and removed everywhere else.
+A rolling hash over the hashes of WINDOW = 2 neighbouring lines is taken at every line.  Where it occurs once in the corpus a chunk
+ends: boundaries depend on what the lines say and not on their place, so a passage is cut alike whatever surrounds it.
+Between boundaries lie chunks of two lines or more that the corpus repeats, possibly piece by piece.  Each pair of neighbouring
+lines in them is compared byte by byte with the first one of its hash, and all but the first go.
 """
 
 from __future__ import annotations
@@ -11,71 +11,71 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plotweave.llm.common import if_small, read
-from plotweave.storage import materialise
+from plotweave.llm.common import BROADCAST_ROWS, if_small, read, row_key
+from plotweave.storage import discard, materialise
 
-#: A boundary follows a line if the rolling hash leaves 0 on division by DIVISOR; lines from which a line is a paragraph.
-WINDOW, DIVISOR, LONG_CHARS = 2, 3, 160
+WINDOW = 2
+_NONE = "cast(array() as array<struct<start:int,n:int>>)"
 
 
 def _let(value: str, name: str, body: str) -> str:
     return f"element_at(transform(array({value}), {name} -> {body}), 1)"
 
 
-def _chunks_sql(text: str) -> str:
-    """SQL for an array of (seq, start, n, h), the chunks of ``lines`` that may be removed: of two lines or a paragraph."""
-    rolling = ", ".join(f"get(info, {{0}} - {k}).h" for k in range(WINDOW - 1, -1, -1))
-    hit = f"(pmod(xxhash64({rolling}), {DIVISOR}) = 0)"
-    # No boundary right after another: chunks have two lines at least, save next to paragraphs and at the end.
-    ends = f"get(info, i).long or coalesce(get(info, i + 1).long, true) or ({hit.format('i')} and not (i > 0 and {hit.format('(i - 1)')}))"
-    start = "coalesce(get(ends, k - 1) + 1, 0)"
-    chunk = f"struct(k as seq, {start} as start, e - {start} + 1 as n, xxhash64(slice(hs, {start} + 1, e - {start} + 1)) as h)"
-    many = f"filter(transform(ends, (e, k) -> {chunk}), c -> c.n > 1 or get(info, c.start).long)"
-    body = _let(f"filter(sequence(0, size(info) - 1), i -> {ends})", "ends", many)
-    body = _let("transform(info, x -> x.h)", "hs", body)
-    return _let(f"transform({text}, l -> struct(xxhash64(l) as h, length(l) >= {LONG_CHARS} as long))", "info", body)
+def _rolling_sql(lines: str) -> str:
+    """SQL for an array of the rolling hash at each line but the last, null where both lines are blank."""
+    hashes = f"transform({lines}, l -> case when trim(l) = '' then 0L else xxhash64(l) end)"
+    rolled = "case when hs[i] = 0 and hs[i + 1] = 0 then null else xxhash64(hs[i], hs[i + 1]) end"
+    return _let(hashes, "hs", f"case when size(hs) > 1 then transform(sequence(0, size(hs) - 2), i -> {rolled}) end")
 
 
-def repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(rid, start, n)``: chunks that equal, byte for byte, one that stands earlier in the corpus.
+def repeated_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``(r1, r2, at)``: lines at which a pair of lines begins that equals, byte for byte, one that stands earlier in the corpus.
 
-    ``rid`` is a hash of id and text; rows alike in both are one document.  Earlier means a smaller id (null first),
-    then a smaller hash, then a place further up.
+    ``r1`` and ``r2`` are hashes of id and text; rows alike in both are one document.  Earlier means a smaller id (null first),
+    then smaller hashes, then a place further up.
     """
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("rid"), F.split(F.coalesce(F.col(text_col), F.lit("")), "\n").alias("lines"))
-    cut = rows.select("doc_id", "rid", "lines", F.explode(F.expr(_chunks_sql("lines"))).alias("c"))
-    chunks = materialise(cut.select("doc_id", "rid", "c.*"), "chunks")
-    place = F.struct("doc_id", "rid", "seq")
-    twice = chunks.groupBy("h").agg(F.min(place).alias("p"), F.max(place).alias("q")).where("not (p <=> q)")
-    twice = materialise(twice.select(F.col("h").alias("rh"), F.col("p.rid").alias("first_rid"), F.col("p.seq").alias("first_seq")), "repeated")
-    text = F.array_join(F.slice("lines", F.col("c.start") + 1, F.col("c.n")), "\n", "")
-    seen = cut.join(if_small(twice), F.col("c.h") == F.col("rh"))
-    first = (F.col("rid") == F.col("first_rid")) & (F.col("c.seq") == F.col("first_seq"))
-    seen = materialise(seen.select("rid", "c.start", "c.n", "rh", first.alias("first"), text.alias("bytes")), "seen")
+    rows = docs.select(F.col(id_col).alias("doc_id"), *row_key(id_col, text_col), F.split(F.coalesce(F.col(text_col), F.lit("")), "\n").alias("lines"))
+    cut = rows.select("doc_id", "r1", "r2", "lines", F.posexplode(F.expr(_rolling_sql("lines"))).alias("at", "h")).where("h is not null")
+    pairs = materialise(cut.select("doc_id", "r1", "r2", "at", "h"), "pairs")
+    place = F.struct("doc_id", "r1", "r2", "at")
+    twice = pairs.groupBy("h").agg(F.min(place).alias("p"), F.max(place).alias("q")).where("not (p <=> q)")
+    twice = materialise(twice.select(F.col("h").alias("rh"), F.col("p.r1").alias("f1"), F.col("p.r2").alias("f2"), F.col("p.at").alias("first_at")), "repeated")
+    seen = cut.join(if_small(twice), F.col("h") == F.col("rh"))
+    first = (F.col("r1") == F.col("f1")) & (F.col("r2") == F.col("f2")) & (F.col("at") == F.col("first_at"))
+    seen = materialise(seen.select("r1", "r2", "at", "rh", first.alias("first"), F.concat(F.expr("lines[at]"), F.lit("\n"), F.expr("lines[at + 1]")).alias("bytes")), "seen")
     firsts = seen.where("first").select(F.col("rh").alias("fh"), F.col("bytes").alias("fbytes")).dropDuplicates(["fh"])
+    # One row a hash against all its places: what a third of all rows share is split by the adaptive skew join.
     same = (F.col("rh") == F.col("fh")) & (F.col("bytes") == F.col("fbytes"))
-    return seen.where("not first").join(firsts, same).select("rid", "start", "n")
+    found = materialise(seen.where("not first").join(firsts, same).select("r1", "r2", "at"), "found")
+    discard(pairs, twice, seen)
+    return found
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """All rows and columns of ``docs``, the text without repeated chunks, with ``n_lines``, ``removed_lines`` and ``removed``.
 
-    ``removed`` lists the (start, n) of what went, in lines from 0.  The first occurrence of a chunk stays.  A null text
-    stays null and has no line; an empty text has one.  A text of which all lines go becomes empty.  Unequal chunks
-    whose hashes are equal are kept.  Columns that bear the names of the three new ones are replaced.
+    A chunk has two lines or more; a line that repeats between other neighbours each time stays, and so do pairs of blank lines
+    only.  ``removed`` lists the (start, n) of what went, in lines from 0.  The first place of a line's content always stays.  A null text
+    stays null and has no line; an empty text has one.  A text of which all lines go becomes empty.  Unequal pairs
+    whose hashes are equal are kept.  Rows alike in id and text are treated alike.  Columns that bear the names of the three new ones are replaced.
     """
     docs = docs.drop("n_lines", "removed_lines", "removed")
-    found = materialise(repeated_chunks(docs, id_col, text_col), "removed")
-    marks = found.groupBy("rid").agg(F.sort_array(F.collect_set(F.struct("start", "n"))).alias("removed")).withColumnRenamed("rid", "__rid")
-    own = docs.withColumn("__key", F.xxhash64(F.col(id_col), F.col(text_col)))
-    joined = own.join(marks, F.col("__key") == F.col("__rid"), "left")
-    joined = joined.withColumn("removed", F.coalesce("removed", F.expr("cast(array() as array<struct<start:int,n:int>>)")))
-    lines = F.split(F.col(text_col), "\n")
-    kept = F.expr("element_at(transform(array(flatten(transform(removed, r -> sequence(r.start, r.start + r.n - 1)))), gone -> filter(split(`%s`, '\\n'), (l, i) -> not array_contains(gone, i))), 1)" % text_col)
-    out = joined.withColumn("n_lines", F.coalesce(F.size(lines), F.lit(0))).withColumn("n_lines", F.when(F.col(text_col).isNull(), 0).otherwise(F.col("n_lines")))
-    out = out.withColumn("removed_lines", F.aggregate("removed", F.lit(0), lambda a, r: a + r["n"]))
-    out = out.withColumn(text_col, F.when(F.size("removed") == 0, F.col(text_col)).otherwise(F.array_join(kept, "\n")))
-    return out.drop("__key", "__rid")
+    found = repeated_pairs(docs, id_col, text_col)
+    marks = found.groupBy(F.col("r1").alias("m1"), F.col("r2").alias("m2")).agg(F.collect_set("at").alias("at"))
+    if found.count() <= BROADCAST_ROWS:  # as many numbers in the lists
+        marks = F.broadcast(marks)
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(text_col).alias("own_text"), *row_key(id_col, text_col))
+    joined = whole.join(marks, (F.col("r1") == F.col("m1")) & (F.col("r2") == F.col("m2")), "left")
+    gone = F.expr("sort_array(array_union(at, transform(at, i -> i + 1)))")
+    cut = joined.select("row", "own_text", F.split("own_text", "\n").alias("lines"), gone.alias("gone"))
+    begins, ends = "filter(gone, (g, i) -> i = 0 or gone[i - 1] <> g - 1)", "filter(gone, (g, i) -> i = size(gone) - 1 or gone[i + 1] <> g + 1)"
+    removed = F.expr(f"coalesce(zip_with({begins}, {ends}, (s, e) -> named_struct('start', s, 'n', e - s + 1)), {_NONE})")
+    kept = F.expr("array_join(transform(array_except(sequence(0, size(lines) - 1), gone), i -> lines[i]), '\n')")
+    text = F.when(F.col("gone").isNull(), F.col("own_text")).otherwise(kept)
+    columns = [text.alias(text_col) if c == text_col else F.col("row")[c].alias(c) for c in docs.columns]
+    n_lines = F.when(F.col("own_text").isNull(), 0).otherwise(F.size("lines"))
+    return cut.select(*columns, n_lines.alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).alias("removed_lines"), removed.alias("removed"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

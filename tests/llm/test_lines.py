@@ -1,61 +1,44 @@
 from collections import defaultdict
 
-import xxhash
+import pytest
 from pyspark.sql import functions as F
 
 from plotweave.llm import lines
 from tests.llm.conftest import prose, table
 
 
-def signed(x):
-    return x - (1 << 64) if x >= 1 << 63 else x
-
-
-def chunks(text):
-    """(start, n) of the chunks that may go, by plain loops; hashes as Spark's."""
-    rows = text.split("\n")
-    h = [signed(xxhash.xxh64_intdigest(r.encode(), 42)) for r in rows]
-
-    def rolling(i):
-        seed = 42
-        for k in (i - 1, i):
-            if k >= 0:
-                seed = xxhash.xxh64_intdigest((h[k] % (1 << 64)).to_bytes(8, "little"), seed)
-        return signed(seed) % lines.DIVISOR == 0
-
-    long = [len(r) >= lines.LONG_CHARS for r in rows]
-    start, out = 0, []
-    for i in range(len(rows)):
-        if long[i] or i + 1 == len(rows) or long[i + 1] or (rolling(i) and not (i > 0 and rolling(i - 1))):
-            if i > start or long[start]:
-                out.append((start, i - start + 1))
-            start = i + 1
-    return out
-
-
 def brute(docs):
-    seen, gone = set(), defaultdict(set)
+    """Texts without pairs of lines that stand earlier, by a plain loop; a set of pairs is all that it keeps."""
+    seen, out = set(), {}
     for i, t in sorted(docs):
-        rows = (t or "").split("\n")
-        for start, n in chunks(t or ""):
-            key = "\n".join(rows[start : start + n])
-            if key in seen:
-                gone[i] |= set(range(start, start + n))
-            seen.add(key)
-    return {i: None if t is None else "\n".join(r for k, r in enumerate(t.split("\n")) if k not in gone[i]) for i, t in docs}
+        if t is None:
+            out[i] = (None, set())
+            continue
+        rows, gone = t.split("\n"), set()
+        for k, pair in enumerate(zip(rows, rows[1:])):
+            if not "".join(pair).strip(" "):
+                continue
+            if pair in seen:
+                gone |= {k, k + 1}
+            seen.add(pair)
+        out[i] = ("\n".join(r for k, r in enumerate(rows) if k not in gone), gone)
+    return out
 
 
 def corpus():
-    shared = "\n".join(prose(500 + k, 8) for k in range(12))
+    shared = [prose(500 + k, 8) for k in range(12)]
     paragraph = prose(700, 60)
     docs = []
-    for i in range(50):
+    for i in range(60):
         own = [prose(40 * i + k, 7) for k in range(1 + i % 9)]
         if i % 3 == 0:
-            own[len(own) // 2 : len(own) // 2] = shared.split("\n")
+            own[len(own) // 2 : len(own) // 2] = shared
         if i % 4 == 0:
-            own.insert(i % 2, paragraph)
+            own[i % 2 : i % 2] = [paragraph, ""]
+        if i % 7 == 0:
+            own += own[:2] + ["", "", "tail"]
         docs.append((i, "\n".join(own)))
+    docs += [(100, "a\nb\na\nb\na"), (101, "x\nx\nx\nx"), (102, "\n\n\n"), (103, None), (104, "")]
     return docs, shared, paragraph
 
 
@@ -63,19 +46,42 @@ def test_against_brute_force(spark):
     docs, shared, paragraph = corpus()
     got = {r.doc_id: r for r in lines.dedup_lines(table(spark, docs)).collect()}
     want = brute(docs)
-    assert {i: r.text for i, r in got.items()} == want
-    assert sum(paragraph in r.text for r in got.values()) == 1
-    removed = [r.removed_lines for i, r in got.items() if i % 3 == 0 and i]
-    assert min(removed) >= 4  # shift-resistant: the inside of the shared passage goes wherever it stands
-    assert all(got[i].removed_lines == 0 for i in range(50) if i % 3 and i % 4)
+    assert {i: r.text for i, r in got.items()} == {i: t for i, (t, _) in want.items()}
+    runs = {i: {k for r in g.removed for k in range(r.start, r.start + r.n)} for i, g in got.items()}
+    assert runs == {i: gone for i, (_, gone) in want.items()} and all(got[i].removed_lines == len(runs[i]) for i in runs)
+    assert all(a.start + a.n < b.start for r in got.values() for a, b in zip(r.removed, r.removed[1:]))
+    assert sum(paragraph in (r.text or "") for r in got.values()) == 1
+    for line in shared:  # the whole passage goes, whatever surrounds it
+        assert sum(line in (r.text or "").split("\n") for r in got.values()) == 1
+    every = {line for _, t in docs for line in (t or "").split("\n")}
+    assert every == {line for r in got.values() for line in (r.text or "").split("\n")} | {""}
+
+
+@pytest.mark.parametrize("size", [2, 3, 5, 8])
+def test_short_passages_between_other_lines(spark, size):
+    passage = [prose(900 + k, 4) for k in range(size)]
+    docs = [(i, "\n".join([prose(1000 + 9 * i + k, 5) for k in range(1 + i % 4)] + passage + [prose(2000 + 9 * i + k, 5) for k in range(1 + i % 3)])) for i in range(12)]
+    got = {r.doc_id: r for r in lines.dedup_lines(table(spark, docs)).collect()}
+    assert got[0].removed_lines == 0
+    assert all(got[i].removed_lines == size and [tuple(r) for r in got[i].removed] == [(1 + i % 4, size)] for i in range(1, 12))
+
+
+def test_long_text_of_repeated_lines(spark):
+    many = "\n".join(prose(k % 500, 3) for k in range(40_000))
+    got = {r.doc_id: r for r in lines.dedup_lines(table(spark, [(1, many), (2, many)])).collect()}
+    assert got[2].text == "" and got[2].removed_lines == 40_000 and got[1].removed_lines >= 39_000
+    assert {1: got[1].text} == {1: brute([(1, many)])[1][0]}
 
 
 def test_odd(odd, empty, odd_rows):
     out = lines.dedup_lines(odd)
     assert set(odd.columns) <= set(out.columns) and out.count() == len(odd_rows)
-    rows = {(r.doc_id, r.text is None): r for r in out.collect()}
-    assert rows[1, True].n_lines == 0 and rows[2, False].n_lines == 1 and rows[(None, True)].n_lines == 0
-    assert rows[6, False].text == "" and rows[5, False].text == odd_rows[4][1]
+    rows = defaultdict(list)
+    for r in out.collect():
+        rows[r.doc_id].append(r)
+    assert rows[1][0].text is None and rows[1][0].n_lines == 0 and rows[2][0].n_lines == 1
+    assert len(rows[6]) == 2 and all(r.text == odd_rows[5][1] for r in rows[6])
+    assert all(r.r1 == r.row == "x" for r in lines.dedup_lines(odd.withColumns({c: F.lit("x") for c in ("r1", "r2", "row", "at", "gone", "own_text", "lines")})).collect())
     assert lines.dedup_lines(empty).count() == 0
 
 
