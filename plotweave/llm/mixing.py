@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from plotweave.llm.common import BROADCAST_ROWS, read
@@ -29,7 +29,7 @@ def _unit(text: Column) -> Column:
 
 
 def rates(docs: DataFrame, weights: Mapping[str, float] | None = None, power: float = POWER, source_col: str = "source", text_col: str = "text") -> DataFrame:
-    """``(source, n_bytes, rate, cdf)`` for each source; ``cdf`` holds the Poisson distribution function from 0 on.
+    """``(source, n_bytes, rate, first, cdf)`` for each source; ``cdf`` holds the Poisson distribution function from ``first`` on.
 
     Sizes are UTF-8 bytes plus one a document, over all documents.  With ``weights``, sources not named there
     have weight zero; a null source is a source of its own, named None in ``weights``.  Weights must not be
@@ -49,12 +49,19 @@ def rates(docs: DataFrame, weights: Mapping[str, float] | None = None, power: fl
     total = sizes.agg(F.sum("n_bytes").alias("n"), F.sum("weight").alias("w")).first()
     n, w = float(total.n or 0), float(total.w or 0) or 1.0
     rate = F.col("weight") / w * n / F.col("n_bytes")
-    # Terms are made from logarithms, so that a large rate doesn't underflow; the tail left out is below 2^-52.
-    last = "cast(ceil(rate + 10 * sqrt(rate) + 20) as int)"
-    logs = f"transform(sequence(0, {last}), j -> case when j = 0 then -rate else ln(rate / j) end)"
-    fold = f"aggregate({logs}, named_struct('l', 0D, 'c', 0D, 'a', array(0D)), (s, x) -> named_struct('l', s.l + x, 'c', s.c + exp(s.l + x), 'a', array_append(s.a, s.c + exp(s.l + x))))"
-    cdf = F.expr(f"case when rate > 0 then slice({fold}.a, 2, {last} + 1) else array(1D) end")
-    return materialise(sizes.withColumn("rate", rate).withColumn("cdf", cdf).drop("weight"), "rates")
+    made = materialise(sizes.withColumn("rate", rate).drop("weight"), "rates")
+    # A source's terms, from its least likely count worth a term to the last: some 24 times the root of the rate.  They are made from
+    # logarithms of ratios and scaled to one; what is left out is below 2^-52.
+    reach = "12 * sqrt(rate) + 20"
+    first, last = f"cast(greatest(0, floor(rate - ({reach}))) as int)", f"cast(ceil(rate + {reach}) as int)"
+    terms = made.where("rate > 0").select("source", "rate", F.expr(first).alias("first"), F.explode(F.expr(f"sequence({first}, {last})")).alias("j"))
+    upto = Window.partitionBy("source").orderBy("j").rowsBetween(Window.unboundedPreceding, 0)
+    terms = terms.withColumn("l", F.sum(F.when(F.col("j") == F.col("first"), 0.0).otherwise(F.log(F.col("rate") / F.col("j")))).over(upto))
+    terms = terms.withColumn("p", F.exp(F.col("l") - F.max("l").over(Window.partitionBy("source"))))
+    terms = terms.withColumn("c", F.sum("p").over(upto) / F.sum("p").over(Window.partitionBy("source")))
+    listed = terms.groupBy(F.col("source").alias("lsource")).agg(F.min("first").alias("first"), F.transform(F.sort_array(F.collect_list(F.struct("j", "c"))), lambda x: x["c"]).alias("cdf"))
+    out = made.join(listed, F.col("source").eqNullSafe(F.col("lsource")), "left")
+    return materialise(out.select("source", "n_bytes", "rate", F.coalesce("first", F.lit(0)).alias("first"), F.coalesce("cdf", F.array(F.lit(1.0))).alias("cdf")), "cdfs")
 
 
 def poisson_mix(docs: DataFrame, weights: Mapping[str, float] | None = None, power: float = POWER, seed: int = SEED, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
@@ -66,18 +73,22 @@ def poisson_mix(docs: DataFrame, weights: Mapping[str, float] | None = None, pow
     """
     docs = docs.drop("copy", "copies", "mix_key")
     name = F.coalesce(F.col(id_col).cast("string"), F.lit("null"))
-    table = rates(docs, weights, power, source_col, text_col).select(F.col("source").alias("__s"), F.col("cdf").alias("__cdf"))
-    rows = docs.withColumn("__u", _unit(F.concat(F.lit(f"{seed}:"), name)))
-    if table.limit(BROADCAST_ROWS // 20 + 1).count() <= BROADCAST_ROWS // 20:
-        joined = rows.join(F.broadcast(table), F.col(source_col).eqNullSafe(F.col("__s")))
+    table = rates(docs, weights, power, source_col, text_col).select(F.col("source").alias("s"), "first", "cdf")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(source_col).alias("own"), name.alias("name"))
+    size = table.agg(F.coalesce(F.sum(F.size("cdf") + 10), F.lit(0)).alias("n")).first().n
+    if size <= BROADCAST_ROWS:
+        joined = rows.join(F.broadcast(table), F.col("own").eqNullSafe(F.col("s")))
     else:
-        salted = table.withColumn("__k", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        mine = F.pmod(F.xxhash64(F.lit(seed), name), F.lit(SALTS)).cast("int")
-        joined = rows.withColumn("__salt", mine).join(salted, F.col(source_col).eqNullSafe(F.col("__s")) & (F.col("__salt") == F.col("__k"))).drop("__salt", "__k")
-    counted = joined.withColumn("copies", F.size(F.filter("__cdf", lambda c: c <= F.col("__u")))).drop("__s", "__cdf", "__u")
+        salted = table.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        mine = F.pmod(F.xxhash64(F.lit(seed), "name"), F.lit(SALTS)).cast("int")
+        joined = rows.withColumn("salt", mine).join(salted, F.col("own").eqNullSafe(F.col("s")) & (F.col("salt") == F.col("k")))
+    u = _unit(F.concat(F.lit(f"{seed}:"), F.col("name")))
+    # The arrays don't go further than this; those of a source are as long as the root of its copies.
+    counted = joined.withColumn("u", u).select("row", "name", (F.col("first") + F.size(F.filter("cdf", lambda c: c <= F.col("u")))).alias("copies"))
     out = counted.where("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
-    key = F.substring(F.md5(F.concat(F.lit(f"{seed}:"), name, F.lit(":"), F.col("copy").cast("string")).cast("binary")), 1, 16)
-    return out.withColumn("mix_key", key).repartition("mix_key").sortWithinPartitions("mix_key")
+    key = F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.col("name"), F.lit(":"), F.col("copy").cast("string")).cast("binary")), 1, 16)
+    out = out.select(*[F.col("row")[c].alias(c) for c in docs.columns], "copies", "copy", key.alias("mix_key"))
+    return out.repartition("mix_key").sortWithinPartitions("mix_key")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

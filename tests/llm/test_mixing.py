@@ -46,3 +46,16 @@ def test_odd(spark, odd, empty, odd_rows):
     assert mixed.count() > 0 and mixing.poisson_mix(empty).count() == 0
     with pytest.raises(ValueError):
         mixing.rates(odd, {"s0": -1.0})
+
+
+def test_high_rates_and_clashing_names(spark):
+    docs = table(spark, [(1, "rare"), (2, "rare")], "few").unionByName(table(spark, [(9, "x" * 2_000_000)], "much"))
+    docs = docs.withColumns({c: F.lit(c) for c in ("u", "s", "k", "row", "own", "name", "first", "cdf", "salt", "__u", "__cdf")})
+    found = {r.source: r for r in mixing.rates(docs, {"few": 0.5, "much": 0.5}).collect()}
+    rate = found["few"].rate
+    assert rate > 90_000 and 15 < len(found["few"].cdf) / rate**0.5 < 30
+    mixed = mixing.poisson_mix(docs, {"few": 0.5, "much": 0.5})
+    assert set(docs.columns) < set(mixed.columns)
+    counts = {r.doc_id: r["count"] for r in mixed.groupBy("doc_id").count().collect()}
+    assert all(abs(counts[i] - rate) < 6 * rate**0.5 for i in (1, 2))
+    assert mixed.where("name <> 'name' or row <> 'row' or copies < 1").count() == 0
