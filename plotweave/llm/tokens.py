@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from plotweave.llm.common import bounded_arrow, read
+from plotweave.llm.common import read, slices
 from plotweave.llm.minhash import id_ranges
 from plotweave.llm.rans import Block, Table, encode
 from plotweave.storage import materialise, new_path
@@ -197,14 +197,13 @@ def _encoder(path: str) -> Encoder:
 
 def tokenize(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(doc_id, n_tokens, ids)`` for each row; ``ids`` are little-endian 16-bit, or 32-bit for large vocabularies."""
-    bounded_arrow(docs.sparkSession, 2048)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = _encoder(tokenizer)
         for b in batches:
             data, sizes = [], []
-            for at in range(0, b.num_rows, 256):  # few texts at a time: their chunks take more memory than they
-                ids, per = enc.encode(b.column(1).slice(at, 256).to_pylist())
+            for texts in slices(b.column(1)):  # few texts at a time: their chunks take more memory than they
+                ids, per = enc.encode(texts)
                 raw = ids.astype(enc.dtype)
                 data += [raw[e - n : e].tobytes() for e, n in zip(np.cumsum(per).tolist(), per.tolist())]
                 sizes += per.tolist()
@@ -291,7 +290,6 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     freq = np.zeros(int(slots["id"].max()) + 1 if len(slots) else 1, np.int64)
     freq[slots["id"]] = slots["slots"]
     shared = spark.sparkContext.broadcast(freq)
-    bounded_arrow(spark, 8)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = Table(shared.value)

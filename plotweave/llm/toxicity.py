@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plotweave.llm.common import bounded_arrow, read
+from plotweave.llm.common import read
 from plotweave.llm.training import fit_in_task, held_out, sample
 
 FOLDS, FOLD = 5, 0
@@ -153,6 +153,11 @@ class Model:
         sizes = np.array([len(p) for p in parts])
         return np.maximum.reduceat(out, np.cumsum(sizes) - sizes)
 
+    def texts(self, texts: pd.Series, memory: dict[str, float]) -> np.ndarray:
+        """Scores of texts, few at a time: their words take more memory than they; null counts as empty."""
+        parts = [self.scores([words_of(t or "") for t in texts.iloc[i : i + 128]], memory) for i in range(0, len(texts), 128)]
+        return np.concatenate(parts) if parts else np.empty(0)
+
     def scores(self, bags: list[set[str]], memory: dict[str, float]) -> np.ndarray:
         if len(memory) > REMEMBERED:
             memory.clear()
@@ -318,7 +323,6 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     Null ids are kept; other columns are ignored.
     """
     spark = docs.sparkSession
-    bounded_arrow(spark, 512)
     shared = spark.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")
@@ -326,7 +330,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
         model = shared.value
         memory: dict[str, float] = {}
         for s in texts:
-            yield pd.Series(model.scores([words_of(t or "") for t in s], memory))
+            yield pd.Series(model.texts(s, memory))
 
     return docs.select(F.col(id_col).alias("doc_id"), run(F.col(text_col)).alias("score"))
 
@@ -334,7 +338,6 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 def reject(docs: DataFrame, model: Model, id_col: str = "doc_id") -> DataFrame:
     """``docs`` without the texts that score 0.5 or more; all columns stay. A null id is judged like any other."""
     spark = docs.sparkSession
-    bounded_arrow(spark, 512)
     shared = spark.sparkContext.broadcast(model)
 
     @F.pandas_udf("boolean")
@@ -342,7 +345,7 @@ def reject(docs: DataFrame, model: Model, id_col: str = "doc_id") -> DataFrame:
         model = shared.value
         memory: dict[str, float] = {}
         for s in texts:
-            yield pd.Series(model.scores([words_of(t or "") for t in s], memory) >= 0.5)
+            yield pd.Series(model.texts(s, memory) >= 0.5)
 
     return docs.where(~toxic("text"))
 
