@@ -20,8 +20,8 @@ from plotweave.llm.common import read
 from plotweave.llm.training import fit_in_task, held_out, sample
 
 FOLDS, FOLD = 3, 1
-#: At most so many labelled rows of each class, of at most so many characters, are fitted on.
-TRAIN_ROWS, TRAIN_CHARS = 1_500, 20_000
+#: At most so many labelled rows of each class, with their whole texts, are fitted on.
+TRAIN_ROWS = 1_500
 TABLE_BITS, DIM, EPOCHS, RATE = 17, 8, 8, 0.5
 CHAR_RUNS = (3, 4)
 
@@ -137,7 +137,7 @@ def fit(texts: list[str], y: np.ndarray, seed: int = 0) -> Model:
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", id_col: str = "doc_id") -> Model:
-    return fit_in_task(sample(docs, labels, label, FOLDS, FOLD, TRAIN_ROWS, TRAIN_CHARS, id_col), fit)
+    return fit_in_task(sample(docs, labels, label, FOLDS, FOLD, TRAIN_ROWS, id_col), fit)
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

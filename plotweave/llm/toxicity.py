@@ -28,11 +28,13 @@ from plotweave.llm.common import read
 from plotweave.llm.training import fit_in_task, held_out, sample
 
 FOLDS, FOLD = 5, 0
-#: At most so many labelled rows of each class, of at most so many characters, are fitted on.
-TRAIN_ROWS, TRAIN_CHARS = 1_200, 20_000
+#: At most so many labelled rows of each class, with their whole texts, are fitted on.
+TRAIN_ROWS = 1_200
 #: Letters of a subsequence; letters from its first to its last; weight of each letter of the span beyond its own.
 LENGTH, SPAN, DECAY = 4, 6, 0.6
 LANDMARKS, ROUNDS, PENALTY = 160, 4, 20.0
+#: How much more frequent in toxic texts than in clean ones a word must be to be suspected.
+ODDS = 3
 #: Lengths of the runs of letters that choose the first suspects.
 RUN = (4, 7)
 #: Clean words in a round of training, and words that a Python worker remembers.
@@ -243,10 +245,12 @@ def fit(bags: list[set[str]], y: np.ndarray, seed: int = 0) -> Model:
     if len(np.unique(y)) < 2:
         return Model(np.zeros(_CODES), 0.0, 1.0, (-float(np.log(prior / (1 - prior))),))
     rng = np.random.default_rng(seed)
-    clean: set[str] = set().union(*[b for b, t in zip(bags, y) if not t])
-    seen = Counter(w for b, t in zip(bags, y) if t for w in b if w not in clean)
+    few = Counter(w for b, t in zip(bags, y) if not t for w in b)
+    many = Counter(w for b, t in zip(bags, y) if t for w in b)
+    # Suspects are words that toxic texts have ODDS times as often as clean ones, by the rates in both.
+    seen = {w for w, n in many.items() if n * (len(y) - y.sum()) >= ODDS * few[w] * y.sum()}
     toxic = [sorted(w for w in b if w in seen and 2 < len(w) <= PIECE) for b, t in zip(bags, y) if t]
-    clean_words = sorted(w for w in clean if len(w) <= PIECE)
+    clean_words = sorted(w for w in few if w not in seen and len(w) <= PIECE)
     everywhere = sorted({w for b in toxic for w in b})
     if not everywhere or not clean_words:
         return Model(np.zeros(_CODES), 0.0, 1.0, (-float(np.log(prior / (1 - prior))),))
@@ -313,7 +317,7 @@ def _edge(values: np.ndarray, y: np.ndarray) -> float:
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str = "doc_id") -> Model:
-    rows = sample(docs, labels, label, FOLDS, FOLD, TRAIN_ROWS, TRAIN_CHARS, id_col)
+    rows = sample(docs, labels, label, FOLDS, FOLD, TRAIN_ROWS, id_col)
     return fit_in_task(rows, lambda texts, y: fit([words_of(t) for t in texts], y))
 
 

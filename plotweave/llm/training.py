@@ -21,12 +21,11 @@ def held_out_id(doc_id: int, folds: int, fold: int) -> bool:
     return zlib.crc32(str(doc_id).encode()) % folds == fold
 
 
-def sample(docs: DataFrame, labels: DataFrame, label: str, folds: int, fold: int, rows: int, most_chars: int, id_col: str = "doc_id") -> DataFrame:
+def sample(docs: DataFrame, labels: DataFrame, label: str, folds: int, fold: int, rows: int, id_col: str = "doc_id") -> DataFrame:
     """``(doc_id, text, y)``: at most ``rows`` labelled documents of each class that aren't held out.
 
-    Those of least hash are taken, so the sample doesn't depend on the order of rows.  Texts beyond ``most_chars``
-    characters are left out of the sample, which bounds what comes to the driver.  Ids labelled twice count once,
-    rows without a label are left out.
+    Those of least hash are taken, so the sample doesn't depend on the order of rows.  Ids labelled twice count once,
+    rows without a label are left out; a null text counts as empty.  Of rows with equal ids one text is taken.
     """
     known = labels.select(F.col("doc_id").alias("lid"), F.col(label).cast("int").alias("y")).where("lid is not null and y in (0, 1)")
     known = known.where(~held_out(F.col("lid"), folds, fold)).withColumn("h", F.xxhash64(F.lit(7), F.col("lid")))
@@ -35,7 +34,7 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, folds: int, fold: int
         part = known.where(F.col("y") == y).orderBy("h", "lid").limit(rows)
         picked = part if picked is None else picked.unionByName(part)
     picked = picked.groupBy("lid").agg(F.max("y").alias("y"))
-    found = docs.select(F.col(id_col).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).where(F.length("text") <= most_chars)
+    found = docs.select(F.col(id_col).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     found = found.join(F.broadcast(picked), F.col("doc_id") == F.col("lid"))  # at most 2 * rows ids
     return found.groupBy("doc_id").agg(F.first("text").alias("text"), F.max("y").alias("y"))
 
