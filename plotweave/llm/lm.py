@@ -27,15 +27,15 @@ from pyspark.sql import functions as F
 from plotweave.llm.common import read, slices, words
 from plotweave.storage import discard, materialise
 
-VOCABULARY, BANDS = 32_000, 256
+VOCABULARY, BANDS = 32_000, 128
 REACH, DIM, HIDDEN = 3, 16, 16
 STEPS, RATE = 24, 0.12
 #: Positions that are worked on at once; words outside the vocabulary that a Python worker remembers; sums added up in a task.
-PIECE, REMEMBERED, FAN = 8_192, 400_000, 32
+PIECE, REMEMBERED, FAN = 4_096, 400_000, 32
 _OFFSETS = [o for o in range(-REACH, REACH + 1) if o]
 #: The id that stands for what lies beyond a text's ends; its vector is zero.
 OUTSIDE = VOCABULARY + BANDS
-_SHAPES = {"emb": (OUTSIDE + 1, DIM), "pos": (2 * REACH, DIM), "w": (DIM, HIDDEN), "b": (HIDDEN,), "u": (HIDDEN, BANDS), "ub": (BANDS,)}
+_SHAPES = {"emb": (OUTSIDE + 1, DIM), "pos": (2 * REACH, DIM), "w": (DIM, HIDDEN), "b": (HIDDEN,), "u": (HIDDEN + 1, BANDS)}
 SIZE = sum(int(np.prod(s)) for s in _SHAPES.values())
 
 
@@ -79,25 +79,22 @@ def initial(totals: np.ndarray | None = None, seed: int = 0) -> np.ndarray:
     p["emb"][:OUTSIDE] = rng.normal(0, 0.1, (OUTSIDE, DIM))
     p["pos"][:] = 1
     p["w"][:] = rng.normal(0, DIM**-0.5, p["w"].shape)
-    p["u"][:] = rng.normal(0, 0.05, p["u"].shape)
+    p["u"][:-1] = rng.normal(0, 0.05, (HIDDEN, BANDS))
     if totals is not None:
-        p["ub"][:] = np.log((totals + 0.5) / (totals + 0.5).sum())
+        p["u"][-1] = np.log((totals + 0.5) / (totals + 0.5).sum())
     return theta
 
 
 def _forward(p: dict[str, np.ndarray], window: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Vectors, context sums, hidden layer and log-probabilities of the bands for all places of ``window`` but REACH at each end."""
+    """For all places of ``window`` but REACH at each end: vectors, context sums, hidden layer with a column of ones, the bands' logits."""
     n = len(window) - 2 * REACH
     e = p["emb"][window]
-    c = np.zeros((n, DIM), e.dtype)
-    for k, o in enumerate(_OFFSETS):
+    c = e[:n] * p["pos"][0]
+    for k, o in enumerate(_OFFSETS[1:], 1):
         c += e[REACH + o : REACH + o + n] * p["pos"][k]
-    h = np.tanh(c @ p["w"] + p["b"])
-    z = h @ p["u"]
-    z += p["ub"]
-    z -= z.max(1, keepdims=True)
-    z -= np.log(np.exp(z).sum(1, keepdims=True))
-    return e, c, h, z
+    h = np.ones((n, HIDDEN + 1), e.dtype)
+    np.tanh(c @ p["w"] + p["b"], out=h[:, :-1])
+    return e, c, h, h @ p["u"]
 
 
 def windows(padded: np.ndarray) -> Iterator[np.ndarray]:
@@ -109,42 +106,42 @@ def windows(padded: np.ndarray) -> Iterator[np.ndarray]:
 def log_probs(theta: np.ndarray, padded: np.ndarray, bands: np.ndarray) -> np.ndarray:
     """Log-probability of the band that stands at each place of ``padded``, given its neighbours; 0 outside of texts."""
     p, out = unpack(theta), np.zeros(len(padded))
-    at = REACH
+    at, ones = REACH, np.ones(BANDS, theta.dtype)
     for window in windows(padded):
         z = _forward(p, window)[3]
-        mid = window[REACH : REACH + len(z)]
-        out[at : at + len(z)] = np.where(mid == OUTSIDE, 0, z[np.arange(len(z)), bands[mid]])
-        at += len(z)
+        n = len(z)
+        mid = window[REACH : REACH + n]
+        own = z[np.arange(n), bands[mid]].astype(np.float64)
+        out[at : at + n] = np.where(mid == OUTSIDE, 0, own - np.log(np.exp(z, out=z) @ ones))
+        at += n
     return out
 
 
-def gradient(theta: np.ndarray, padded: np.ndarray, bands: np.ndarray) -> np.ndarray:
-    """Gradient of the negative log-probability summed over all places in texts, with 64 bits."""
-    p, total = unpack(theta), np.zeros(SIZE)
-    g = unpack(total)
+def gradient(theta: np.ndarray, padded: np.ndarray, bands: np.ndarray, total: np.ndarray) -> None:
+    """Add to ``total``, of 64 bits, the gradient of the negative log-probability summed over all places in texts."""
+    p = unpack(theta)
+    g, ones = unpack(total), np.ones((BANDS, 1), theta.dtype)
     for window in windows(padded):
         e, c, h, z = _forward(p, window)
         n = len(z)
         mid = window[REACH : REACH + n]
         d = np.exp(z, out=z)
-        d[np.arange(n), bands[mid]] -= 1
-        d[mid == OUTSIDE] = 0
+        d *= (mid != OUTSIDE)[:, None] / (d @ ones)
+        d[np.arange(n), bands[mid]] -= mid != OUTSIDE
         g["u"] += h.T @ d
-        g["ub"] += d.sum(0)
-        dz = (d @ p["u"].T) * (1 - h * h)
+        dz = (d @ p["u"][:-1].T) * (1 - h[:, :-1] ** 2)
         g["w"] += c.T @ dz
         g["b"] += dz.sum(0)
         dc = dz @ p["w"].T
         back = np.zeros_like(e)
         for k, o in enumerate(_OFFSETS):
             place = slice(REACH + o, REACH + o + n)
-            g["pos"][k] += (dc * e[place]).sum(0)
+            g["pos"][k] += np.einsum("ij,ij->j", dc, e[place])
             back[place] += dc * p["pos"][k]
         order = np.argsort(window, kind="stable")
         first = np.flatnonzero(np.diff(window[order].astype(np.int32), prepend=-1))
         g["emb"][window[order][first]] += np.add.reduceat(back[order], first, axis=0)
     g["emb"][OUTSIDE] = 0
-    return total
 
 
 def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -153,8 +150,17 @@ def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 def lexicon(counts: DataFrame) -> Lexicon:
-    """The vocabulary by falling count, ties by word, bands of about equal counts in it, and the bands' counts of all words."""
-    top = counts.orderBy(F.desc("n"), "word").limit(VOCABULARY).collect()
+    """The vocabulary by falling count, ties by word, bands of about equal counts in it, and the bands' counts of all words.
+
+    Words of the count at which VOCABULARY words would be exceeded are all outside.
+    """
+    least, many = 0, 0
+    for r in counts.groupBy("n").count().orderBy(F.desc("n")).toLocalIterator():  # the first few thousand of the different counts
+        many += r["count"]
+        if many > VOCABULARY:
+            least = r.n
+            break
+    top = sorted(counts.where(F.col("n") > least).collect(), key=lambda r: (-r.n, r.word))
     known = sorted((r.word, r.n) for r in top)
     total, sofar, starts = sum(n for _, n in known), 0, []
     for i, (word, n) in enumerate(known):
@@ -190,7 +196,7 @@ class Coder:
 
     def _learn(self, parts: list[str]) -> None:
         known, n = self.known, len(self.known)
-        new = [w for w in dict.fromkeys(parts) if w not in known]
+        new = list(dict.fromkeys([w for w in parts if w not in known]))
         while n + len(new) > len(self.ids):
             self.ids, self.hashes = (np.concatenate([a, np.zeros_like(a)]) for a in (self.ids, self.hashes))
         known.update(zip(new, range(n, n + len(new))))
@@ -285,7 +291,7 @@ def train(coded: DataFrame, lexicon: Lexicon) -> np.ndarray:
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
             total, n = np.zeros(SIZE), 0
             for padded, places, _ in _batches(batches, 0):
-                total += gradient(shared.value[0], padded, shared.value[1])
+                gradient(shared.value[0], padded, shared.value[1], total)
                 n += int((places[:, 1] - places[:, 0]).sum())
             if n:
                 yield pa.record_batch([pa.array([total.tobytes()], pa.binary()), pa.array([n], pa.int64())], ["sums", "n"])

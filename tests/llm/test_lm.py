@@ -15,24 +15,25 @@ def lexicon(words):
     return made
 
 
-def test_gradient_and_probabilities():
+def test_gradient_and_probabilities(monkeypatch):
     rng = np.random.default_rng(0)
     bands = rng.integers(0, lm.BANDS, lm.OUTSIDE + 1)
     theta = lm.initial().astype(np.float64)
     padded, places = lm.padded_batch([rng.integers(0, lm.OUTSIDE, 9).astype(np.uint16), rng.integers(0, lm.OUTSIDE, 5).astype(np.uint16)])
-    g = lm.gradient(theta, padded, bands)
+    g, again = np.zeros(lm.SIZE), np.zeros(lm.SIZE)
+    lm.gradient(theta, padded, bands, g)
     loss = lambda t: -lm.log_probs(t, padded, bands).sum()
     for k in np.concatenate([rng.integers(lm.OUTSIDE * lm.DIM + lm.DIM, lm.SIZE, 30), padded[padded < lm.OUTSIDE].astype(np.int64) * lm.DIM + 3]):
         e = np.zeros(lm.SIZE)
         e[k] = 1e-4
         assert abs((loss(theta + e) - loss(theta - e)) / 2e-4 - g[k]) < 1e-3
-    z = lm._forward(lm.unpack(theta), padded)[3]
-    assert np.allclose(np.exp(z).sum(1), 1)
-    lm.PIECE, whole = 4, lm.log_probs(theta, padded, bands)
-    try:
-        assert np.allclose(lm.log_probs(theta, padded, bands), whole) and np.allclose(lm.gradient(theta, padded, bands), g)
-    finally:
-        lm.PIECE = 8_192
+    z = np.exp(lm._forward(lm.unpack(theta), padded)[3])
+    every = sum(np.exp(lm.log_probs(theta, padded, np.full(lm.OUTSIDE + 1, k))) for k in range(lm.BANDS))
+    assert np.allclose(every[padded != lm.OUTSIDE], 1) and z.shape == (len(padded) - 2 * lm.REACH, lm.BANDS)
+    whole = lm.log_probs(theta, padded, bands)
+    monkeypatch.setattr(lm, "PIECE", 4)
+    lm.gradient(theta, padded, bands, again)
+    assert np.allclose(lm.log_probs(theta, padded, bands), whole) and np.allclose(again, g)
 
 
 def loop_scores(theta, lex, counts, texts):
@@ -47,7 +48,7 @@ def loop_scores(theta, lex, counts, texts):
             c = np.zeros(lm.DIM)
             for k, o in enumerate(o for o in range(-lm.REACH, lm.REACH + 1) if o):
                 c += p["emb"][ids[i + o] if 0 <= i + o < len(ids) else lm.OUTSIDE] * p["pos"][k]
-            z = np.tanh(c @ p["w"] + p["b"]) @ p["u"] + p["ub"]
+            z = np.append(np.tanh(c @ p["w"] + p["b"]), 1) @ p["u"]
             total += z[lex.band(w)] - np.log(np.exp(z).sum()) + np.log(counts[w] / sum(n for v, n in counts.items() if lex.band(v) == lex.band(w)))
         out.append(total)
     return out
