@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +32,20 @@ def slices(column: pa.Array, rows: int = 256, size: int = 4 << 20) -> Iterator[l
         at = upto
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 1024, size: int = 16 << 20) -> Iterator[None]:
+    """For actions inside: Arrow batches of few rows and bytes, as texts may be long.  The session's own settings come back after."""
+    names = {"spark.sql.execution.arrow.maxRecordsPerBatch": str(rows), "spark.sql.execution.arrow.maxBytesPerBatch": str(size)}
+    before = {k: spark.conf.get(k) for k in names}
+    try:
+        for k, v in names.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """Hint a broadcast if ``df`` has at most ``rows`` rows, else leave the join to shuffle.
 

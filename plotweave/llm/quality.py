@@ -16,8 +16,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plotweave.llm.common import read
+from plotweave.llm.common import read, small_batches
 from plotweave.llm.training import fit_in_task, held_out, sample
+from plotweave.storage import materialise
 
 FOLDS, FOLD = 3, 1
 #: At most so many labelled rows of each class, with their whole texts, are fitted on.
@@ -143,7 +144,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", id_col: st
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(doc_id, score)`` for each row, over the whole text; null and empty texts get the score of no features.
 
-    Null ids are kept; other columns are ignored.
+    Null and repeated ids are kept, equal texts score alike; other columns are ignored.
     """
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)
@@ -163,7 +164,8 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
                 at = upto
             yield pd.Series(np.concatenate(out) if out else np.empty(0))
 
-    return docs.select(F.col(id_col).alias("doc_id"), run(F.col(text_col)).alias("score"))
+    with small_batches(spark, 512):
+        return materialise(docs.select(F.col(id_col).alias("doc_id"), run(F.col(text_col)).alias("score")), "scores")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from plotweave.llm.common import read, slices
+from plotweave.llm.common import read, slices, small_batches
 from plotweave.llm.minhash import id_ranges
 from plotweave.llm.rans import Block, Table, encode
 from plotweave.storage import materialise, new_path
@@ -239,7 +239,8 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_
     """
     spark = docs.sparkSession
     vocabulary = Encoder(tokenizer).tok.get_vocab_size()
-    tokens = materialise(tokenize(docs, tokenizer, id_col, text_col), "tokens")
+    with small_batches(spark, 2048):
+        tokens = materialise(tokenize(docs, tokenizer, id_col, text_col), "tokens")
     counts = count_ids(tokens, vocabulary)
     table = Table(counts)
     known = np.flatnonzero(table.freq)
@@ -278,7 +279,8 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_
             yield close()
 
     blocks = placed.mapInArrow(run, "range int, start long, block binary")
-    blocks.write.mode("overwrite").option("compression", "uncompressed").partitionBy("range").parquet(f"{path}/blocks")
+    with small_batches(spark, 2048):
+        blocks.write.mode("overwrite").option("compression", "uncompressed").partitionBy("range").parquet(f"{path}/blocks")
 
 
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
@@ -320,7 +322,8 @@ def coded(docs: DataFrame, tokenizer: str | None = None, path: str | None = None
     spark = docs.sparkSession
     path = path or new_path(spark, "token-files")
     write_tokens(docs, path, tokenizer or default_tokenizer())
-    return read_tokens(spark, path).select("doc_id", "start", "n_tokens", "ids_crc32")
+    with small_batches(spark, 8):
+        return materialise(read_tokens(spark, path).select("doc_id", "start", "n_tokens", "ids_crc32"), "read")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

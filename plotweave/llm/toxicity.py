@@ -24,8 +24,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plotweave.llm.common import read
+from plotweave.llm.common import read, small_batches
 from plotweave.llm.training import fit_in_task, held_out, sample
+from plotweave.storage import materialise
 
 FOLDS, FOLD = 5, 0
 #: At most so many labelled rows of each class, with their whole texts, are fitted on.
@@ -324,7 +325,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(doc_id, score)`` for each row, over the whole text; null, empty and blank texts have the least score.
 
-    Null ids are kept; other columns are ignored.
+    Null and repeated ids are kept, equal texts score alike; other columns are ignored.
     """
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)
@@ -336,11 +337,15 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
         for s in texts:
             yield pd.Series(model.texts(s, memory))
 
-    return docs.select(F.col(id_col).alias("doc_id"), run(F.col(text_col)).alias("score"))
+    with small_batches(spark, 512):
+        return materialise(docs.select(F.col(id_col).alias("doc_id"), run(F.col(text_col)).alias("score")), "scores")
 
 
-def reject(docs: DataFrame, model: Model, id_col: str = "doc_id") -> DataFrame:
-    """``docs`` without the texts that score 0.5 or more; all columns stay. A null id is judged like any other."""
+def reject(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """``docs`` without the texts that score 0.5 or more; all columns stay, whatever their names.
+
+    Null and repeated ids are judged like any other, equal texts alike; null, empty and blank texts stay, long ones are judged whole.
+    """
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)
 
@@ -351,7 +356,8 @@ def reject(docs: DataFrame, model: Model, id_col: str = "doc_id") -> DataFrame:
         for s in texts:
             yield pd.Series(model.texts(s, memory) >= 0.5)
 
-    return docs.where(~toxic("text"))
+    with small_batches(spark, 512):
+        return materialise(docs.where(~toxic(F.col(text_col))), "kept")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
