@@ -61,14 +61,13 @@ def channels_first(output: np.ndarray) -> np.ndarray:
     return output if output.shape[0] <= 4 else output.transpose(2, 0, 1)
 
 
-def probability_masks(probs: DataFrame, threshold: float = 0.5) -> tuple[DataFrame, DataFrame | None]:
-    """(line mask, node mask) of ``probs(image_id, h, w, y, x, p)``.
+def probability_masks(probs: DataFrame, threshold: float = 0.5) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(line mask, node mask, lines without nodes) of ``probs(image_id, h, w, y, x, p)``.
 
-    With three channels or more they are background, node, line; with fewer the first is the line, and nodes must come
-    from its skeleton: the second result is None.
+    With three channels or more they are background, node, line.  With fewer the first is the line, and nodes must come from its
+    skeleton: the third table has the lines of such images, a part of the first.  Each row is judged by its own channels.
     """
-    first = probs.select(F.size("p").alias("n")).first()
     where = ["image_id", "h", "w", "y", "x"]
-    if first is not None and first.n >= 3:
-        return probs.where(F.get("p", 2) >= threshold).select(*where), probs.where(F.get("p", 1) >= threshold).select(*where)
-    return probs.where(F.get("p", 0) >= threshold).select(*where), None
+    many = F.size("p") >= 3
+    lines = probs.where(F.when(many, F.get("p", 2)).otherwise(F.get("p", 0)) >= threshold)
+    return lines.select(*where), probs.where(many & (F.get("p", 1) >= threshold)).select(*where), lines.where(~many).select(*where)

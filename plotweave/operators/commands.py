@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from plotweave.functions.numbers import two_places
+
 
 def emit(paths: DataFrame) -> DataFrame:
     """Commands of the paths of each image in order of ``path_id`` and ``seq``: travel to a path's first point, draw to the others."""
@@ -17,19 +19,20 @@ def _number(value: float) -> str:
     return repr(float(value))
 
 
-def fault(width_mm: float, height_mm: float) -> Column:
-    """What is wrong with a command, null if nothing is: the mode first, then the closed bounds; NaN is out of bounds."""
-    two = lambda c: F.format_string("%.2f", c)
-    inside = (F.col("x_mm") >= 0) & (F.col("x_mm") <= width_mm) & (F.col("y_mm") >= 0) & (F.col("y_mm") <= height_mm)
-    bad_mode = F.concat(F.lit("Command "), F.col("cmd_idx").cast("string"), F.lit(" has invalid mode: "), F.col("mode").cast("string"))
-    bounds = F.concat(F.lit("Command "), F.col("cmd_idx").cast("string"), F.lit(" outside gantry bounds: x="), two(F.col("x_mm")), F.lit(", y="), two(F.col("y_mm")), F.lit(f", allowed X=0..{_number(width_mm)}, Y=0..{_number(height_mm)}"))
-    return F.when(~F.coalesce(F.col("mode").isin(0, 1), F.lit(False)), bad_mode).when(~F.coalesce(inside, F.lit(False)), bounds)
-
-
 def first_fault(commands: DataFrame, width_mm: float, height_mm: float) -> DataFrame:
-    """``(image_id, error)``: the first fault of each image, null if there is none."""
-    marked = commands.withColumn("__e", fault(width_mm, height_mm))
-    return marked.groupBy("image_id").agg(F.min_by("__e", F.when(F.col("__e").isNotNull(), F.col("cmd_idx"))).alias("error"))
+    """``(image_id, error)``: the first fault of each image, null if there is none.
+
+    A command's mode is looked at first, then the closed bounds; NaN and null are out of bounds.  Only the first faulty command of an
+    image is put into words, its numbers rounded as Python rounds them.
+    """
+    inside = (F.col("x_mm") >= 0) & (F.col("x_mm") <= width_mm) & (F.col("y_mm") >= 0) & (F.col("y_mm") <= height_mm)
+    known, inside = F.coalesce(F.col("mode").isin(0, 1), F.lit(False)), F.coalesce(inside, F.lit(False))
+    found = commands.groupBy("image_id").agg(F.min(F.when(~(known & inside), F.struct("cmd_idx", (~known).alias("bad_mode"), "x_mm", "y_mm", "mode"))).alias("f"))
+    found = found.select("image_id", "f", two_places("f.x_mm").alias("x"), two_places("f.y_mm").alias("y"))
+    number, none = F.concat(F.lit("Command "), F.col("f.cmd_idx").cast("string")), F.lit("None")
+    bad_mode = F.concat(number, F.lit(" has invalid mode: "), F.coalesce(F.col("f.mode").cast("string"), none))
+    bounds = F.concat(number, F.lit(" outside gantry bounds: x="), F.coalesce("x", none), F.lit(", y="), F.coalesce("y", none), F.lit(f", allowed X=0..{_number(width_mm)}, Y=0..{_number(height_mm)}"))
+    return found.select("image_id", F.when(F.col("f").isNotNull(), F.when(F.col("f.bad_mode"), bad_mode).otherwise(bounds)).alias("error"))
 
 
 def validate(commands: DataFrame, width_mm: float, height_mm: float) -> None:

@@ -85,7 +85,7 @@ def sigmoid_channel(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {_LOGITS} SELECT image_id, x, 'line' AS kind FROM p WHERE p2 / (p0 + p1 + p2) >= 0.5 UNION ALL SELECT image_id, x, 'node' FROM p WHERE p1 / (p0 + p1 + p2) >= 0.5")
 def masks_from_probs(spark: SparkSession, d: str) -> DataFrame:
-    lines, found = px.probability_masks(ad.logits3(spark, d).withColumn("p", px.probabilities(F.col("z"))))
+    lines, found, _ = px.probability_masks(ad.logits3(spark, d).withColumn("p", px.probabilities(F.col("z"))))
     return lines.select("image_id", "x", F.lit("line").alias("kind")).unionByName(found.select("image_id", "x", F.lit("node").alias("kind")))
 
 
@@ -211,7 +211,8 @@ def node_hint(spark: SparkSession, d: str) -> DataFrame:
     return sk.with_hint(sk.nodes(mask), hint, mask).select(*_AT)
 
 
-@query(f"WITH {ad.MASK}, {ad.RING} SELECT m.image_id, m.y, m.x, CAST(k AS INTEGER) AS k, n.y AS ny, n.x AS nx FROM mask m, ring, mask n WHERE n.image_id = m.image_id AND n.y = m.y + dy AND n.x = m.x + dx")
+@query(f"""WITH {ad.MASK}, {ad.RING}, to_ AS (SELECT image_id, y, x, CAST(k AS INTEGER) AS k, CAST(y + dy AS INTEGER) AS ny, CAST(x + dx AS INTEGER) AS nx FROM mask CROSS JOIN ring)
+SELECT t.image_id, t.y, t.x, t.k, t.ny, t.nx FROM to_ t JOIN mask n ON n.image_id = t.image_id AND n.y = t.ny AND n.x = t.nx""")
 def pixel_neighbors(spark: SparkSession, d: str) -> DataFrame:
     return sk.pixel_links(ad.mask8(spark, d))
 
@@ -386,17 +387,17 @@ def corner_nms(spark: SparkSession, d: str) -> DataFrame:
     return polyline.corners(ad.paths(spark, d), 140.0, 8, 17).select(*_P, "idx")
 
 
-def _thinned(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """Paths, and every third point of them moved a little, as a sampled path."""
+def _moved(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Paths, and their points moved a little, as sampled paths."""
     raw = ad.paths(spark, d)
-    return raw, raw.where("seq % 3 = 0").select(*_P, "seq", (F.col("x") + 0.25).alias("x"), (F.col("y") - 0.25).alias("y"))
+    return raw, raw.select(*_P, "seq", (F.col("x") + 0.25).alias("x"), (F.col("y") - 0.25).alias("y"))
 
 
 @query(f"""WITH {ad.POLY}, {_ARCS.format('poly')},
-pairs AS (SELECT a.image_id, a.path_id, a.seq, b.seq AS i, b.s, row_number() OVER (PARTITION BY a.path_id, a.seq ORDER BY (b.x - (a.x + 0.25)) * (b.x - (a.x + 0.25)) + (b.y - (a.y - 0.25)) * (b.y - (a.y - 0.25)), b.seq) AS rn FROM poly a JOIN arc b ON a.path_id = b.path_id WHERE a.seq % 3 = 0)
+pairs AS (SELECT a.image_id, a.path_id, a.seq, b.seq AS i, b.s, row_number() OVER (PARTITION BY a.path_id, a.seq ORDER BY (b.x - (a.x + 0.25)) * (b.x - (a.x + 0.25)) + (b.y - (a.y - 0.25)) * (b.y - (a.y - 0.25)), b.seq) AS rn FROM poly a JOIN arc b ON a.path_id = b.path_id)
 SELECT image_id, path_id, seq, i, round(s, 4) AS s FROM pairs WHERE rn = 1""")
 def nearest_vertex(spark: SparkSession, d: str) -> DataFrame:
-    raw, sampled = _thinned(spark, d)
+    raw, sampled = _moved(spark, d)
     return polyline.nearest_vertex(sampled, raw).select(*_P, "seq", "i", F.round("s", 4).alias("s"))
 
 

@@ -89,8 +89,8 @@ class ModelSegmenter:
     def segment(self, pixels: DataFrame) -> Segmentation:
         # Spark is lazy: the table is written here, so that a failing model fails here.
         probs = materialise(self.probabilities(pixels), "probabilities")
-        lines, found = probability_masks(probs, self.threshold)
-        found = found if found is not None else nodes(thin(lines)).select(*PIXEL)
+        lines, found, plain = probability_masks(probs, self.threshold)
+        found = found.select(*PIXEL).unionByName(nodes(thin(plain)).select(*PIXEL))
         return Segmentation(lines, found, ML, self.model_path, ["Model segmentation inference completed."])
 
 

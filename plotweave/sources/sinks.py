@@ -2,20 +2,10 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-
-@F.pandas_udf(T.StringType())
-def two_places(values: pd.Series) -> pd.Series:
-    return values.map(lambda v: None if v is None else f"{v:.2f}")
-
-
-@F.pandas_udf(T.StringType())
-def three_places(values: pd.Series) -> pd.Series:
-    return values.map(lambda v: None if v is None else f"{v:.3f}")
+from plotweave.functions.numbers import three_places, two_places
 
 
 def command_text(x: Column | str = "x_mm", y: Column | str = "y_mm", mode: Column | str = "mode") -> Column:

@@ -179,3 +179,30 @@ def test_metrics_json_covers_every_image(spark):
     for i, modes in own.items():
         assert docs[i]["command_count"] == len(modes)
         assert docs[i]["stroke_count"] == sum(m == 1 and (k == 0 or modes[k - 1] != 1) for k, m in enumerate(modes))
+
+
+def test_numbers_in_text_are_rounded_exactly_and_nulls_stay(spark):
+    from plotweave.functions.numbers import three_places, two_places
+    from plotweave.operators import commands as cmd
+
+    values = [1000.125, 2.675, 0.125, 1.005, -0.001, None, float("nan")]
+    rows = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v double").select("i", two_places("v").alias("a"), three_places("v").alias("b")).orderBy("i").collect()
+    assert [r.a for r in rows] == [None if v is None else f"{v:.2f}" for v in values] and rows[5].b is None
+    moves = spark.createDataFrame([("a", 0, 1.0, 1.0, 1), ("a", 1, 1000.125, 2.675, 1), ("a", 2, 1.0, 1.0, 7), ("b", 0, 0.0, 0.0, 0), ("c", 0, None, 1.0, 0), ("d", 4, 1.0, 1.0, None)], "image_id string, cmd_idx long, x_mm double, y_mm double, mode int")
+    got = {r.image_id: r.error for r in cmd.first_fault(moves, 150.0, 270.0).collect()}
+    assert got == {
+        "a": "Command 1 outside gantry bounds: x=1000.12, y=2.67, allowed X=0..150.0, Y=0..270.0",
+        "b": None,
+        "c": "Command 0 outside gantry bounds: x=None, y=1.00, allowed X=0..150.0, Y=0..270.0",
+        "d": "Command 4 has invalid mode: None",
+    }
+
+
+def test_mixed_channel_counts(spark):
+    from plotweave.functions.pixels import probability_masks
+
+    rows = [("three", 1, 2, 0, 0, [0.1, 0.2, 0.7]), ("three", 1, 2, 0, 1, [0.3, 0.6, 0.1]), ("one", 1, 2, 0, 0, [0.9]), ("one", 1, 2, 0, 1, [0.2])]
+    for part in (rows, rows[::-1]):
+        probs = spark.createDataFrame(part, "image_id string, h int, w int, y int, x int, p array<double>").coalesce(1)
+        lines, nodes, plain = ({(r.image_id, r.x) for r in t.collect()} for t in probability_masks(probs))
+        assert (lines, nodes, plain) == ({("three", 0), ("one", 0)}, {("three", 1)}, {("one", 0)})
