@@ -218,6 +218,7 @@ def count_ids(tokens: DataFrame, vocabulary: int) -> np.ndarray:
     wide = vocabulary > 1 << 16
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _ENCODERS.clear()
         n = np.zeros(vocabulary, np.int64)
         for b in batches:
             for x in b.column(0):
@@ -259,6 +260,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_
     shared = spark.sparkContext.broadcast(counts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _ENCODERS.clear()  # the worker may have tokenized before; blocks need its memory, not its tokenizer
         table = Table(shared.value)
         open_: list[tuple] = []
 
@@ -279,7 +281,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_
             yield close()
 
     blocks = placed.mapInArrow(run, "range int, start long, block binary")
-    with small_batches(spark, 2048):
+    with small_batches(spark, 512):
         blocks.write.mode("overwrite").option("compression", "uncompressed").partitionBy("range").parquet(f"{path}/blocks")
 
 

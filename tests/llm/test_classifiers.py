@@ -113,7 +113,7 @@ def test_one_class():
 def test_sample_and_folds(spark):
     docs = table(spark, [(i, prose(i, 5)) for i in range(200)] + [(500, prose(1, 9))])
     labels = spark.createDataFrame([(i, i % 2, 0) for i in range(200)] + [(3, 1, 0), (None, 1, 0), (500, None, 0)], "doc_id long, quality int, toxic int")
-    rows = training.sample(docs, labels, "quality", 3, 1, 30, 1000).collect()
+    rows = training.sample(docs, labels, "quality", 3, 1, 30).collect()
     assert len(rows) == 60 and len({r.doc_id for r in rows}) == 60
     assert all(zlib.crc32(str(r.doc_id).encode()) % 3 != 1 and r.y == r.doc_id % 2 for r in rows)
     held = {r.doc_id: r.h for r in docs.select("doc_id", training.held_out(docs.doc_id, 3, 1).alias("h")).collect()}
