@@ -24,6 +24,16 @@ def mask8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pixels8(spark, sf_dir).where("gray < 127").drop("gray")
 
 
+def drawings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each part as a drawing of 32 by 32 pixels, of which the ink is given: two rows and two columns, placed by the part's numbers."""
+    size, key = F.col("p_size"), F.col("p_partkey")
+    places = F.explode(F.sequence(F.lit(1), F.lit(30))).alias("t")
+    rows = table(spark, sf_dir, "part").select(key.alias("image_id"), (size % 9 + 3).alias("y1"), (size % 7 + 19).alias("y2"), (key % 8 + 4).cast("int").alias("x1"), (key % 9 + 18).cast("int").alias("x2"), places)
+    at = F.array(*[F.struct(y.alias("y"), x.alias("x")) for y, x in ((F.col("y1"), F.col("t")), (F.col("y2"), F.col("t")), (F.col("t"), F.col("x1")), (F.col("t"), F.col("x2")))])
+    ink = rows.select("image_id", F.explode(at).alias("p")).distinct()
+    return ink.select("image_id", F.lit(32).alias("h"), F.lit(32).alias("w"), "p.y", "p.x", F.lit(0).alias("gray"))
+
+
 def logits3(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each embedding as 21 pixels of three channels."""
     rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("image_id"), F.transform("embedding", lambda e: e.cast("double") * 10).alias("e"))
@@ -55,6 +65,9 @@ PX = """px AS (SELECT vec_id AS image_id, CAST((i - 1) // 8 AS INTEGER) AS y, CA
   CAST(greatest(0, least(255, floor(128 + 400 * CAST(embedding[i] AS DOUBLE)))) AS INTEGER) AS gray
   FROM embeddings, (SELECT unnest(range(1, 65)) AS i) n)"""
 MASK = PX + ", mask AS (SELECT image_id, y, x FROM px WHERE gray < 127)"
+DRAWN = """ink AS (SELECT p_partkey AS image_id, CAST(p_size % 9 + 3 AS INTEGER) AS y1, CAST(p_size % 7 + 19 AS INTEGER) AS y2, CAST(p_partkey % 8 + 4 AS INTEGER) AS x1, CAST(p_partkey % 9 + 18 AS INTEGER) AS x2, CAST(t AS INTEGER) AS t
+  FROM part, (SELECT unnest(range(1, 31)) AS t) n),
+mask AS (SELECT image_id, y1 AS y, t AS x FROM ink UNION SELECT image_id, y2, t FROM ink UNION SELECT image_id, t, x1 FROM ink UNION SELECT image_id, t, x2 FROM ink)"""
 BOX = "box AS (SELECT a.d AS dy, b.d AS dx FROM (SELECT unnest([-1, 0, 1]) AS d) a, (SELECT unnest([-1, 0, 1]) AS d) b)"
 RING = "ring AS (SELECT unnest([-1, -1, 0, 1, 1, 1, 0, -1]) AS dy, unnest([0, 1, 1, 1, 0, -1, -1, -1]) AS dx, unnest(range(0, 8)) AS k)"
 CODE = RING + """, code AS (SELECT m.image_id, m.y, m.x, CAST(coalesce(bit_or(CASE WHEN n.x IS NULL THEN 0 ELSE 1 << k END), 0) AS INTEGER) AS code

@@ -271,15 +271,29 @@ def _edge_rows(edges: DataFrame) -> DataFrame:
     return edges.select("image_id", "id", "start_vertex", "end_vertex", r6("pixel_length").alias("pixel_length"), a["x"].alias("x0"), a["y"].alias("y0"), b["x"].alias("x1"), b["y"].alias("y1"))
 
 
+def _on_drawings(sql: str) -> str:
+    """A statement on images of side 8 as one on the drawings of side 32."""
+    sql = sql.replace(ad.MASK, ad.DRAWN)
+    for a, b in (("y * 8 + x", "y * 32 + x"), ("n.y * 8 + n.x", "n.y * 32 + n.x"), ("r.b // 8", "r.b // 32"), ("r.b % 8", "r.b % 32"), ("a // 8", "a // 32"), ("a % 8", "a % 32"), (") // 8", ") // 32"), (") % 8", ") % 32"), ("BETWEEN 0 AND 7", "BETWEEN 0 AND 31")):
+        sql = sql.replace(a, b)
+    return sql
+
+
 @query(_TRACE)
 def trace_edges(spark: SparkSession, d: str) -> DataFrame:
     mask = ad.mask8(spark, d)
     return _edge_rows(sk.trace(mask, sk.cluster(sk.nodes(mask), mask)[1]))
 
 
+@query(_on_drawings(_TRACE))
+def trace_drawings(spark: SparkSession, d: str) -> DataFrame:
+    mask = ad.drawings(spark, d).drop("gray")
+    return _edge_rows(sk.trace(mask, sk.cluster(sk.nodes(mask), mask)[1]))
+
+
 @query()
 def stroke_graph(spark: SparkSession, d: str) -> DataFrame:
-    return _edge_rows(sk.build_graph(ad.mask8(spark, d))["edges"])
+    return _edge_rows(sk.build_graph(ad.drawings(spark, d).drop("gray"))["edges"])
 
 
 @query()
@@ -577,7 +591,7 @@ def run_contours(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def run_strokes(spark: SparkSession, d: str) -> DataFrame:
-    return stroke_run(ad.pixels8(spark, d)).commands.select("image_id", "cmd_idx", r6("x_mm").alias("x_mm"), r6("y_mm").alias("y_mm"), "mode")
+    return stroke_run(ad.drawings(spark, d)).commands.select("image_id", "cmd_idx", r6("x_mm").alias("x_mm"), r6("y_mm").alias("y_mm"), "mode")
 
 
 @query()
