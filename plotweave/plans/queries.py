@@ -591,7 +591,7 @@ def run_contours(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def run_strokes(spark: SparkSession, d: str) -> DataFrame:
-    return stroke_run(ad.drawings(spark, d)).commands.select("image_id", "cmd_idx", r6("x_mm").alias("x_mm"), r6("y_mm").alias("y_mm"), "mode")
+    return stroke_run(ad.drawings(spark, d, "supplier")).commands.select("image_id", "cmd_idx", r6("x_mm").alias("x_mm"), r6("y_mm").alias("y_mm"), "mode")
 
 
 @query()
