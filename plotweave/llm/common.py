@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Iterator
 from contextlib import contextmanager
 
@@ -32,6 +34,15 @@ def slices(column: pa.Array, rows: int = 256, size: int = 4 << 20) -> Iterator[l
         at = upto
 
 
+def give_back() -> None:
+    """Return the memory that this worker has freed to the machine: workers live through many stages, and allocators keep what they had."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # only the GNU library has it
+    if trim:
+        trim(0)
+
+
 @contextmanager
 def small_batches(spark: SparkSession, rows: int = 1024, size: int = 16 << 20) -> Iterator[None]:
     """For actions inside: Arrow batches of few rows and bytes, as texts may be long.  The session's own settings come back after."""

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from plotweave.llm.common import read, slices, small_batches
+from plotweave.llm.common import give_back, read, slices, small_batches
 from plotweave.llm.minhash import id_ranges
 from plotweave.llm.rans import Block, Table, encode
 from plotweave.storage import materialise, new_path
@@ -199,10 +199,11 @@ def tokenize(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col:
     """``(doc_id, n_tokens, ids)`` for each row; ``ids`` are little-endian 16-bit, or 32-bit for large vocabularies."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
         enc = _encoder(tokenizer)
         for b in batches:
             data, sizes = [], []
-            for texts in slices(b.column(1)):  # few texts at a time: their chunks take more memory than they
+            for texts in slices(b.column(1), size=1 << 20):  # few texts at a time: their chunks take more memory than they
                 ids, per = enc.encode(texts)
                 raw = ids.astype(enc.dtype)
                 data += [raw[e - n : e].tobytes() for e, n in zip(np.cumsum(per).tolist(), per.tolist())]
@@ -219,6 +220,7 @@ def count_ids(tokens: DataFrame, vocabulary: int) -> np.ndarray:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _ENCODERS.clear()
+        give_back()
         n = np.zeros(vocabulary, np.int64)
         for b in batches:
             for x in b.column(0):
@@ -261,6 +263,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _ENCODERS.clear()  # the worker may have tokenized before; blocks need its memory, not its tokenizer
+        give_back()
         table = Table(shared.value)
         open_: list[tuple] = []
 
