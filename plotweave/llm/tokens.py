@@ -27,8 +27,8 @@ from plotweave.storage import materialise, new_path
 END_ID = 0
 #: Ids in a block: one is closed at the first document that starts beyond.
 BLOCK_IDS = 1 << 19
-#: Chunks whose ids a Python worker remembers.
-REMEMBERED = 400_000
+#: Chunks, and pieces of chunks, whose ids a Python worker remembers.
+REMEMBERED, REMEMBERED_PIECES = 250_000, 50_000
 #: White space other than space and newline, and characters that mark keys: such texts go to the tokenizer whole.
 _OTHER = re.compile("[\\x00-\\x02\\t\\r\\x0b\\x0c\\x1c-\\x1f\\x85\\xa0\\u1680\\u180e\\u2000-\\u200d\\u2028\\u2029\\u202f\\u205f\\u2060\\u3000\\ufeff]")
 
@@ -93,7 +93,7 @@ class Encoder:
         for _ in range(over):
             _, k = self.index.popitem()
             self.used = min(self.used, int(self.starts[k]))
-        for _ in range(len(self.pieces) - REMEMBERED):
+        for _ in range(len(self.pieces) - REMEMBERED_PIECES):
             self.pieces.popitem()
 
     def _pieces(self, key: str) -> list[str] | None:
@@ -209,6 +209,8 @@ def tokenize(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col:
                 data += [raw[e - n : e].tobytes() for e, n in zip(np.cumsum(per).tolist(), per.tolist())]
                 sizes += per.tolist()
             yield pa.record_batch([b.column(0), pa.array(sizes, pa.int64()), pa.array(data, pa.binary())], ["doc_id", "n_tokens", "ids"])
+            del data
+            give_back()
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return rows.mapInArrow(run, "doc_id long, n_tokens long, ids binary")

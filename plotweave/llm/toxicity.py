@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plotweave.llm.common import read, small_batches
+from plotweave.llm.common import give_back, read, small_batches
 from plotweave.llm.training import fit_in_task, held_out, sample
 from plotweave.storage import materialise
 
@@ -355,6 +355,8 @@ def reject(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
         memory: dict[str, float] = {}
         for s in texts:
             yield pd.Series(model.texts(s, memory) >= 0.5)
+        memory.clear()
+        give_back()
 
     with small_batches(spark, 512):
         return materialise(docs.where(~toxic(F.col(text_col))), "kept")
