@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from plotweave.llm.common import give_back, read, slices, small_batches
 from plotweave.llm.minhash import id_ranges
 from plotweave.llm.rans import Block, Table, encode
-from plotweave.storage import materialise, new_path
+from plotweave.storage import discard, materialise, new_path
 
 END_ID = 0
 #: Ids in a block: one is closed at the first document that starts beyond.
@@ -288,6 +288,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_
     blocks = placed.mapInArrow(run, "range int, start long, block binary")
     with small_batches(spark, 512):
         blocks.write.mode("overwrite").option("compression", "uncompressed").partitionBy("range").parquet(f"{path}/blocks")
+    discard(tokens)
 
 
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
