@@ -10,11 +10,15 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
 _DEFAULT: dict[str, str] = {}
 _LEFT: dict[str, SparkSession] = {}
+_RECORD: ContextVar[list[str] | None] = ContextVar("record", default=None)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -55,9 +59,23 @@ def new_path(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared folder, removed when the driver's Python ends."""
     path = f"{shared_dir(spark)}/plotweave-{name}-{uuid.uuid4().hex}"
     _remove_at_exit(spark, path)
+    record = _RECORD.get()
+    if record is not None:
+        record.append(path)
     return path
 
 
+@contextmanager
+def recorded() -> Iterator[list[str]]:
+    """The paths that ``new_path`` gives inside, by this thread."""
+    paths: list[str] = []
+    before = _RECORD.set(paths)
+    try:
+        yield paths
+    finally:
+        _RECORD.reset(before)
+
+
 def materialise(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back: lineage ends here."""
     spark = df.sparkSession
