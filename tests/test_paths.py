@@ -169,3 +169,17 @@ def test_contour_modes(spark):
     assert n == {0: 1, 1: 2}
     with pytest.raises(ValueError):
         ct.find_contours(mask, "tree")
+
+
+def test_rdp_among_equally_far_points(spark, tmp_path):
+    duckdb = pytest.importorskip("duckdb")
+    from plotweave.plans.queries import QUERIES, SQL
+
+    path = [(0.0, 0), (10.0, 60), (20.0, 60), (100.0, 0)]
+    made = ", ".join(f"({k}, TIMESTAMP '2024-01-01 00:00:0{k}', 8, 'click', {x}, '{{\"k\": {y}}}')" for k, (x, y) in enumerate(path))
+    with duckdb.connect() as db:
+        db.execute(f"CREATE TABLE events AS SELECT event_id::BIGINT AS event_id, ts, user_id::BIGINT AS user_id, event_type, value::DOUBLE AS value, props FROM (VALUES {made}) t(event_id, ts, user_id, event_type, value, props)")
+        db.execute(f"COPY events TO '{tmp_path}/events.parquet' (FORMAT parquet)")
+        want = sorted(db.execute(SQL["rdp"]).fetchall())
+    assert sorted(tuple(r) for r in QUERIES["rdp"](spark, str(tmp_path)).collect()) == want == [(0, 8, 0.0, 0.0), (0, 8, 20.0, 60.0), (0, 8, 100.0, 0.0)]
+    assert back(pl.simplify(frame(spark, [path]), 40.0))[0] == [(0.0, 0.0), (10.0, 60.0), (100.0, 0.0)]
