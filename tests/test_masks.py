@@ -215,3 +215,18 @@ def test_nodes(spark):
     corner = np.zeros((5, 5), bool)
     corner[0, :4] = corner[0:4, 0] = True
     assert {(r.y, r.x) for r in sk.nodes(frame(spark, [corner])).collect() if r.kind == "corner"} <= {(0, 0), (0, 1), (1, 0)}
+
+
+def test_pixel_tables_are_not_broadcast(spark):
+    """A table of few bytes on disk may hold millions of pixels: joins of them shuffle, whatever the files' size."""
+    from plotweave.operators import skeleton as sk
+    from plotweave.storage import materialise
+
+    rows = [(1, 15, 15, 7, x) for x in range(1, 14)] + [(1, 15, 15, y, 7) for y in range(1, 14) if y != 7]
+    mask = materialise(spark.createDataFrame(rows, "image_id int, h int, w int, y int, x int"), "mask")
+    vertices, labels = sk.cluster(sk.nodes(mask), mask)
+    edges = sk.trace(mask, labels)
+    hinted = sk.with_hint(sk.nodes(mask), mask.where("y = x"), mask)
+    for table in (vertices, edges, hinted):
+        assert "BroadcastHashJoin" not in table._jdf.queryExecution().executedPlan().toString()
+    assert vertices.count() == 5 and edges.count() == 4
