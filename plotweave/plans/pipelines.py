@@ -17,7 +17,7 @@ from plotweave.operators.polyline import close_path, corners, merge_corners, res
 from plotweave.operators.skeleton import build_graph, nodes
 from plotweave.segment import Segmentation, segment
 from plotweave.sources import sinks
-from plotweave.storage import materialise
+from plotweave.storage import materialise, unsent
 
 
 @dataclass
@@ -68,7 +68,7 @@ def stroke_run(pixels: DataFrame, config: StrokeConfig | None = None, area: Work
     graph = build_graph(found.lines, found.nodes, c.vertex_radius, c.simplify_px)
     graph |= {k: materialise(graph[k], k) for k in ("vertices", "strokes")}
     sizes = pixels.select("image_id", "w", "h").distinct()
-    mapped = map_points(graph["strokes"], sizes, area)
+    mapped = map_points(unsent(graph["strokes"]), sizes, area)
     commands = materialise(cmd.emit(mapped), "commands")
     cmd.validate(commands, area.width_mm, area.height_mm)
     return StrokeRun(found, graph, mapped, commands, transforms(sizes, area))

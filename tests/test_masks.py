@@ -230,3 +230,15 @@ def test_pixel_tables_are_not_broadcast(spark):
     for table in (vertices, edges, hinted):
         assert "BroadcastHashJoin" not in table._jdf.queryExecution().executedPlan().toString()
     assert vertices.count() == 5 and edges.count() == 4
+
+
+def test_components_and_strokes_are_not_broadcast(spark):
+    from plotweave.operators import morphology as mo
+    from plotweave.plans.pipelines import stroke_run
+
+    rows = [(k, 40, 40, 20, x, 0) for k in (1, 2) for x in range(5, 35)]
+    pixels = spark.createDataFrame(rows, "image_id int, h int, w int, y int, x int, gray int")
+    run = stroke_run(pixels)
+    for table in (mo.drop_small(pixels.drop("gray"), 5), run.mapped):
+        assert "BroadcastHashJoin" not in table._jdf.queryExecution().executedPlan().toString()
+    assert run.commands.count() == 4
