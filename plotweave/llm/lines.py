@@ -3,7 +3,7 @@
 A rolling hash over the hashes of WINDOW = 2 neighbouring lines is taken at every line.  Where it occurs once in the corpus a chunk
 ends: boundaries depend on what the lines say and not on their place, so a passage is cut alike whatever surrounds it.
 Between boundaries lie chunks of two lines or more that the corpus repeats, possibly piece by piece.  Each pair of neighbouring
-lines in them is compared byte by byte with the first one of its hash, and all but the first go.
+lines in them is compared byte by byte with the first one of its hash, pairs that follow one first text together, and all but the first go.
 """
 
 from __future__ import annotations
@@ -12,9 +12,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plotweave.llm.common import BROADCAST_ROWS, if_small, read, row_key
-from plotweave.storage import discard, materialise
+from plotweave.storage import discard, materialise, unsent
 
 WINDOW = 2
+#: Runs of repeated pairs that are held against one copy of the text in which they stand first.
+PART = 1_000
 _NONE = "cast(array() as array<struct<start:int,n:int>>)"
 
 
@@ -36,22 +38,48 @@ def repeated_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     then smaller hashes, then a place further up.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), *row_key(id_col, text_col), F.split(F.coalesce(F.col(text_col), F.lit("")), "\n").alias("lines"))
-    cut = rows.select("doc_id", "r1", "r2", "lines", F.posexplode(F.expr(_rolling_sql("lines"))).alias("at", "h")).where("h is not null")
-    pairs = materialise(cut.select("doc_id", "r1", "r2", "at", "h"), "pairs")
+    pairs = rows.select("doc_id", "r1", "r2", F.posexplode(F.expr(_rolling_sql("lines"))).alias("at", "h")).where("h is not null")
+    pairs = materialise(pairs, "pairs")
     place = F.struct("doc_id", "r1", "r2", "at")
     twice = pairs.groupBy("h").agg(F.min(place).alias("p"), F.max(place).alias("q")).where("not (p <=> q)")
     twice = materialise(twice.select(F.col("h").alias("rh"), F.col("p.r1").alias("f1"), F.col("p.r2").alias("f2"), F.col("p.at").alias("first_at")), "repeated")
-    seen = cut.join(if_small(twice), F.col("h") == F.col("rh"))
     first = (F.col("r1") == F.col("f1")) & (F.col("r2") == F.col("f2")) & (F.col("at") == F.col("first_at"))
-    seen = materialise(seen.select("r1", "r2", "at", "rh", first.alias("first"), F.concat(F.expr("lines[at]"), F.lit("\n"), F.expr("lines[at + 1]")).alias("bytes")), "seen")
-    firsts = seen.where("first").select(F.col("rh").alias("fh"), F.col("bytes").alias("fbytes")).dropDuplicates(["fh"])
-    # One row a hash against all its places: what a third of all rows share is split by the adaptive skew join.
-    same = (F.col("rh") == F.col("fh")) & (F.col("bytes") == F.col("fbytes"))
-    found = materialise(seen.where("not first").join(firsts, same).select("r1", "r2", "at"), "found")
-    discard(pairs, twice, seen)
+    again = pairs.join(if_small(twice), F.col("h") == F.col("rh")).where(~first)
+    # Only numbers take part in joins by hash; pairs that repeat one document's at one distance are compared together.
+    runs = again.groupBy("r1", "r2", "f1", "f2", (F.col("at") - F.col("first_at")).alias("shift")).agg(F.collect_set("at").alias("ats"))
+    runs = materialise(runs, "runs")
+    discard(pairs, twice)
+    found = materialise(_same_bytes(rows.drop("doc_id"), runs), "found")
+    discard(runs)
     return found
 
 
+def _same_bytes(rows: DataFrame, runs: DataFrame) -> DataFrame:
+    """``(r1, r2, at)`` of the pairs in ``runs`` whose two lines equal, byte for byte, those of the first place.
+
+    A text is shuffled once with the list of its runs, and leaves with the lines that they name; a first text meets these in as many
+    copies as PART runs each need, so that no text that many repeat is one task's.
+    """
+    firsts = runs.groupBy("f1", "f2").agg((F.floor(F.count("*") / PART) + 1).cast("int").alias("parts"))
+    firsts = materialise(firsts, "firsts")
+    dealt = runs.join(if_small(firsts), ["f1", "f2"]).withColumn("part", F.pmod(F.xxhash64("r1", "r2", "shift"), F.col("parts")).cast("int"))
+    lists = dealt.groupBy(F.col("r1").alias("m1"), F.col("r2").alias("m2")).agg(F.collect_list(F.struct("f1", "f2", "part", "shift", "ats")).alias("runs"))
+    lists = materialise(lists, "lists")
+    small = runs.select(F.sum(F.size("ats"))).first()[0] or 0
+    asked = F.broadcast(lists) if small <= BROADCAST_ROWS else unsent(lists)  # as many numbers in the lists
+    own = "transform(array_union(u.ats, transform(u.ats, i -> i + 1)), i -> named_struct('i', i, 'line', lines[i]))"
+    cut = f"transform(runs, u -> named_struct('f1', u.f1, 'f2', u.f2, 'part', u.part, 'shift', u.shift, 'ats', u.ats, 'own', {own}))"
+    asking = rows.join(asked, (F.col("r1") == F.col("m1")) & (F.col("r2") == F.col("m2"))).select("r1", "r2", F.explode(F.expr(cut)).alias("u")).select("r1", "r2", "u.*")
+    named = firsts.select(F.col("f1").alias("g1"), F.col("f2").alias("g2"), "parts")
+    theirs = rows.join(if_small(named), (F.col("r1") == F.col("g1")) & (F.col("r2") == F.col("g2")))
+    theirs = theirs.groupBy("g1", "g2").agg(F.first("lines").alias("theirs"), F.first("parts").alias("parts"))
+    theirs = theirs.select("g1", "g2", "theirs", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("g"))
+    met = asking.join(theirs, (F.col("f1") == F.col("g1")) & (F.col("f2") == F.col("g2")) & (F.col("part") == F.col("g")))
+    same = "transform(filter(own, o -> o.line = get(theirs, o.i - shift)), o -> o.i)"
+    ats = F.expr(_let(same, "s", "array_intersect(array_intersect(ats, s), transform(s, i -> i - 1))"))
+    return met.select("r1", "r2", F.explode(ats).alias("at"))
+
+
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """All rows and columns of ``docs``, the text without repeated chunks, with ``n_lines``, ``removed_lines`` and ``removed``.
 
@@ -65,7 +93,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     marks = found.groupBy(F.col("r1").alias("m1"), F.col("r2").alias("m2")).agg(F.collect_set("at").alias("at"))
     if found.count() <= BROADCAST_ROWS:  # as many numbers in the lists
         marks = F.broadcast(marks)
-    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(text_col).alias("own_text"), *row_key(id_col, text_col))
+    rest = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text_col])
+    whole = docs.select(rest.alias("row"), F.col(text_col).alias("own_text"), *row_key(id_col, text_col))
     joined = whole.join(marks, (F.col("r1") == F.col("m1")) & (F.col("r2") == F.col("m2")), "left")
     gone = F.expr("sort_array(array_union(at, transform(at, i -> i + 1)))")
     cut = joined.select("row", "own_text", F.split("own_text", "\n").alias("lines"), gone.alias("gone"))

@@ -89,3 +89,30 @@ def test_rows_alike_are_one_document(spark):
     t = "\n".join(prose(k, 9) for k in range(6))
     out = lines.dedup_lines(table(spark, [(1, t), (1, t), (2, t)])).where(F.col("removed_lines") > 0).collect()
     assert [r.doc_id for r in out] == [2]
+
+
+def test_large_joins_shuffle_each_text_a_few_times(spark, monkeypatch):
+    """With nothing broadcast, what is shuffled grows with the texts, not with texts times their repeated lines."""
+    monkeypatch.setattr(lines, "if_small", lambda df: df)
+    monkeypatch.setattr(lines, "BROADCAST_ROWS", -1)
+    text = "\n".join(prose(k, 12) for k in range(1500))
+    docs = [(i, f"{text}\n{prose(5000 + i, 9)}") for i in range(3)] + [(9, None), (10, "")]
+    written = lambda: spark.sparkContext._jsc.sc().statusStore().executorSummary("driver").totalShuffleWrite()
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        before = written()
+        got = {r.doc_id: r.text for r in lines.dedup_lines(table(spark, docs)).collect()}
+        moved = written() - before
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert got == {i: t for i, (t, _) in brute(docs).items()}
+    assert moved < 12 * sum(len(t or "") for _, t in docs)
+
+
+def test_unequal_pairs_of_equal_hash_stay(spark, monkeypatch):
+    """With a hash that tells only lengths, pairs are kept unless their bytes are those of the first."""
+    plain = lines._rolling_sql
+    monkeypatch.setattr(lines, "_rolling_sql", lambda x: plain(x).replace("xxhash64(l)", "cast(length(l) as bigint)"))
+    docs = [(1, "aa\nbb\ncc"), (2, "xx\naa\nbb\nyy"), (3, "aa\nbb"), (4, "p\nq")]
+    got = {r.doc_id: r.text for r in lines.dedup_lines(table(spark, docs)).collect()}
+    assert got == {1: "aa\nbb\ncc", 2: "xx\nyy", 3: "", 4: "p\nq"}
