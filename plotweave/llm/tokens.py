@@ -11,7 +11,7 @@ import re
 import zlib
 from collections.abc import Iterator
 from hashlib import sha256
-from itertools import repeat
+from itertools import islice, repeat
 from string import punctuation
 
 import numpy as np
@@ -27,8 +27,8 @@ from plotweave.storage import discard, materialise, new_path
 END_ID = 0
 #: Ids in a block: one is closed at the first document that starts beyond.
 BLOCK_IDS = 1 << 19
-#: Chunks, and pieces of chunks, whose ids a Python worker remembers.
-REMEMBERED, REMEMBERED_PIECES = 250_000, 50_000
+#: Chunks whose ids a Python worker remembers; new chunks that the model gets as one.
+REMEMBERED, JOINED = 250_000, 8
 #: White space other than space and newline, and characters that mark keys: such texts go to the tokenizer whole.
 _OTHER = re.compile("[\\x00-\\x02\\t\\r\\x0b\\x0c\\x1c-\\x1f\\x85\\xa0\\u1680\\u180e\\u2000-\\u200d\\u2028\\u2029\\u202f\\u205f\\u2060\\u3000\\ufeff]")
 
@@ -41,6 +41,16 @@ def _byte_letters() -> dict[int, str]:
 
 
 _BYTES = _byte_letters()
+_LETTERS = {c: b for b, c in _BYTES.items()}
+
+
+def _spans(token: str) -> bool:
+    """Whether a token made of what plain chunks hold joins two of them, or a letter (or part of one) and the sign behind it."""
+    text = bytes(_LETTERS.get(c, 0) for c in token).decode("utf-8", "replace")
+    letter = [c.isalpha() or c == "\ufffd" for c in text]
+    if not all(a or c in " \n" or c in punctuation for a, c in zip(letter, text)):
+        return False
+    return any(c in " \n" and b not in " \n" or b == "\n" and c not in " \n" or c in punctuation and a for a, b, c in zip(letter, text, text[1:]))
 
 
 class Encoder:
@@ -61,13 +71,18 @@ class Encoder:
         size = self.tok.get_vocab_size()
         self.texts = {}
         self.added = [str(t) for t in self.tok.get_added_tokens_decoder().values()]
-        self.plain = type(self.tok.model).__name__ == "BPE" and self.tok.normalizer is None and not self.tok.encode(" a").tokens[0].startswith(" ")
+        vocabulary = self.tok.get_vocab()
+        own = [t for t in vocabulary if t not in self.added]
+        self.plain = type(self.tok.model).__name__ == "BPE" and self.tok.normalizer is None and not self.tok.encode(" a").tokens[0].startswith(" ") and not any(map(_spans, own))
+        #: Whether a token begins with the letter that stands for a space or a newline.
+        self.leads = np.zeros(max([size, *(i + 1 for i in vocabulary.values())]), bool)
+        self.leads[[i for t, i in vocabulary.items() if t[:1] in ("\u0120", "\u010a")]] = True
         self.dtype = "<u2" if size <= 1 << 16 else "<u4"
         self.clear()
 
     def clear(self) -> None:
-        self.pieces: dict[str, tuple[int, ...]] = {}
         self.index: dict[str, int] = {"\x01": 0}
+        self.new: dict[str, int] = {}
         self.ids, self.used = np.zeros(1 << 16, np.uint32), 1
         self.ids[0] = END_ID
         self.starts, self.sizes = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
@@ -77,73 +92,43 @@ class Encoder:
         """Chunk k has ``ids[ends[k - 1]:ends[k]]``."""
         while self.used + len(ids) > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-        n = len(self.index)
+        n = len(self.index) + len(self.new)
         while n + len(keys) > len(self.starts):
             self.starts, self.sizes = (np.concatenate([a, np.zeros_like(a)]) for a in (self.starts, self.sizes))
         begins = np.concatenate([[0], ends[:-1]])
         self.ids[self.used : self.used + len(ids)] = ids
         self.starts[n : n + len(keys)] = self.used + begins
         self.sizes[n : n + len(keys)] = ends - begins
-        self.index.update(zip(keys, range(n, n + len(keys))))
+        self.new.update(zip(keys, range(n, n + len(keys))))
         self.used += len(ids)
 
-    def _forget(self) -> None:
-        """Drop what was learned beyond the first REMEMBERED chunks and pieces; the frequent ones come early."""
-        over = len(self.index) - REMEMBERED
-        for _ in range(over):
-            _, k = self.index.popitem()
-            self.used = min(self.used, int(self.starts[k]))
-        for _ in range(len(self.pieces) - REMEMBERED_PIECES):
-            self.pieces.popitem()
-
-    def _pieces(self, key: str) -> list[str] | None:
-        """What the tokenizer's pattern cuts a chunk into, if it is a word of letters with ASCII signs behind, else None."""
-        if key[0] == "\x00":
-            lead, body = [], key[1:]
-        elif key[0] == "\n":
-            lead, body = ["\n"], key[1:]
-        else:
-            lead, body = [], " " + key
-        base = body.rstrip(punctuation)
-        if not (base[1:] if base[:1] == " " else base).isalpha():
-            return None
-        return [*lead, base, body[len(base) :]] if len(base) < len(body) else [*lead, base]
+    def _keep(self) -> None:
+        """Remember for later calls what this one learned, up to REMEMBERED chunks; the frequent ones come early."""
+        room = max(0, REMEMBERED - len(self.index))
+        if len(self.new) > room:
+            self.used = int(self.starts[len(self.index) + room])
+        self.index.update(islice(self.new.items(), room))
+        self.new = {}
 
     def _learn(self, keys: list[str]) -> None:
-        """Remember the ids of chunks: of plain words piece by piece, which the model encodes; of others by the whole tokenizer."""
+        """Remember the ids of chunks.  Words of letters with ASCII signs behind go to the model itself, JOINED at a time, and are
+        cut where a token begins with a space or newline: no token of a plain vocabulary spans two of them, or letters and signs."""
+        inner: list[str] = []
         whole: list[str] = []
-        plain, ends, ids = [], [], []
-        tokenize, index, own = self.tok.model.tokenize, self.index, {}
         for k in keys:
-            if self.plain and k.isalpha():  # a word after a space, the most frequent kind
-                if k not in own:
-                    ids += [t.id for t in tokenize("\u0120" + (k if k.isascii() else k.encode().decode("latin1").translate(_BYTES)))]
-                    own[k] = len(plain)
-                    plain.append(k)
-                    ends.append(len(ids))
-                continue
-            cut = self._pieces(k) if self.plain and k[0] != "\x02" else None
-            if cut is None:
-                whole.append(k)
-                continue
-            for piece in cut:
-                word = piece[1:] if piece[0] == " " else ""
-                at = index.get(word, -1) if word else -1
-                if at >= 0:
-                    ids += self.ids[self.starts[at] : self.starts[at] + self.sizes[at]].tolist()
-                elif word in own:
-                    n = own[word]
-                    ids += ids[ends[n - 1] if n else 0 : ends[n]]
-                else:
-                    found = self.pieces.get(piece)
-                    if found is None:
-                        found = tuple(t.id for t in tokenize(piece.encode().decode("latin1").translate(_BYTES)))
-                        self.pieces[piece] = found
-                    ids += found
-            plain.append(k)
-            ends.append(len(ids))
-        if plain:
-            self._remember(plain, np.array(ids, np.uint32), np.array(ends))
+            base = k.rstrip(punctuation)
+            (inner if self.plain and (base.isalpha() or base[:1] == "\n" and base[1:].isalpha()) else whole).append(k)
+        ids: list[int] = []
+        tokenize = self.tok.model.tokenize
+        for at in range(0, len(inner), JOINED):
+            text = "".join([k if k[0] == "\n" else " " + k for k in inner[at : at + JOINED]])
+            ids += [t.id for t in tokenize(text.replace(" ", "\u0120").replace("\n", "\u010a") if text.isascii() else text.encode().decode("latin1").translate(_BYTES))]
+        if inner:
+            every = np.array(ids, np.uint32)
+            begins = np.flatnonzero(self.leads[every])
+            if len(begins) != len(inner):
+                raise ValueError("the tokenizer joins words")
+            self._remember(inner, every, np.append(begins[1:], len(every)))
         for at in range(0, len(whole), 256):
             part = whole[at : at + 256]
             texts = [k if k[0] == "\n" else self.texts[k] if k[0] == "\x02" else k[1:] if k[0] == "\x00" else " " + k for k in part]
@@ -162,7 +147,6 @@ class Encoder:
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """All ids in order, each text's followed by the end id, and the number of each text's ids."""
-        self._forget()
         self.texts: dict[str, str] = {}  # texts that go to the tokenizer whole, by key
         keys: list[str] = []
         counts = np.empty(len(texts), np.int64)
@@ -176,11 +160,12 @@ class Encoder:
         if len(miss):
             lost = [keys[i] for i in miss]
             self._learn(list(dict.fromkeys(lost)))
-            at[miss] = np.fromiter(map(self.index.__getitem__, lost), np.int64, len(lost))
+            at[miss] = np.fromiter(map(self.new.__getitem__, lost), np.int64, len(lost))
         sizes = self.sizes[at]
         ends = np.cumsum(sizes)
         where = np.repeat(self.starts[at] - ends + sizes, sizes) + np.arange(int(ends[-1]) if len(ends) else 0)
         ids = self.ids[where]
+        self._keep()
         per = np.add.reduceat(sizes, np.cumsum(counts) - counts) if len(texts) else np.empty(0, np.int64)
         return ids, per
 
@@ -225,8 +210,9 @@ def count_ids(tokens: DataFrame, vocabulary: int) -> np.ndarray:
         give_back()
         n = np.zeros(vocabulary, np.int64)
         for b in batches:
-            for x in b.column(0):
-                n += np.bincount(np.frombuffer(x.as_buffer(), "<u4" if wide else "<u2"), minlength=vocabulary)
+            for at in range(0, len(b), 256):
+                raw = b"".join(b.column(0).slice(at, 256).to_pylist())
+                n += np.bincount(np.frombuffer(raw, "<u4" if wide else "<u2"), minlength=vocabulary)
         have = np.flatnonzero(n)
         yield pa.record_batch([pa.array(have, pa.int64()), pa.array(n[have], pa.int64())], ["id", "n"])
 

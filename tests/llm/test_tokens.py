@@ -35,6 +35,35 @@ def test_encoder_forgets(monkeypatch):
     assert len(enc.index) < 2000
 
 
+def test_new_words_go_to_the_model_together():
+    """Words, also with signs behind or a newline before, are encoded several a call; ids stay those of the library."""
+    enc = tokens.Encoder(PATH)
+    calls = []
+
+    class Tok:
+        def __getattr__(self, name):
+            return getattr(TOK, name)
+
+        @property
+        def model(self):
+            return self
+
+        def tokenize(self, text):
+            calls.append(text)
+            return TOK.model.tokenize(text)
+
+    enc.tok = Tok()
+    texts = [" ".join(prose(i, 200).split(" ")).replace("ka ", "été, ").replace("lo ", "ño.'\nSi ").replace("mi ", "'s ") for i in range(4)]
+    got, _ = enc.encode(texts)
+    assert got.tolist() == [i for t in texts for i in ids(t)]
+    assert 0 < len(calls) < len(enc.index) / 4
+
+
+def test_vocabulary_that_joins_words_is_not_plain():
+    assert not any(tokens._spans(t) for t in ("\u0120the", "\u010a", "!?", "\u0120\u0120", "\u0120(", "'s"))
+    assert all(tokens._spans(t) for t in ("of\u0120the", "\u010athe", "end.", "\u00c3\u00a9,"))
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.integers(0, 40), max_size=400), st.integers(1, 50))
 def test_rans_round_trip(values, lanes):
