@@ -44,6 +44,8 @@ NEGATIVES, REMEMBERED = 6_000, 400_000
 PIECE, STRIDE = 24, 16
 #: A word's margin isn't below this; how many of a text's greatest margins are looked at; weight of a clean text called toxic.
 FLOOR, MEANS, WARY = -1.0, 3, 3
+#: Words whose kernel values are computed at once.
+FEW = 128
 #: Runs of at least so many one-letter words are also read as one word.
 SPELLED = 4
 
@@ -121,10 +123,10 @@ def kernel(a: list[str], b: list[str]) -> np.ndarray:
     out = np.zeros((len(a), len(b)))
     starts = np.flatnonzero(np.concatenate([[True], w[hit][1:] != w[hit][:-1]])) if len(hit) else hit
     if len(hit):
-        for k in range(0, len(starts), 2048):  # rows of few words at a time
-            lo, hi = starts[k], starts[k + 2048] if k + 2048 < len(starts) else len(hit)
+        for k in range(0, len(starts), FEW):  # rows of few words at a time: each of their subsequences takes a row of ``dense``
+            lo, hi = starts[k], starts[k + FEW] if k + FEW < len(starts) else len(hit)
             some = hit[lo:hi]
-            out[w[hit[starts[k : k + 2048]]]] = np.add.reduceat(v[some, None] * dense[at[some]], starts[k : k + 2048] - lo, axis=0)
+            out[w[hit[starts[k : k + FEW]]]] = np.add.reduceat(v[some, None] * dense[at[some]], starts[k : k + FEW] - lo, axis=0)
     return out / norm[:, None]
 
 

@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from plotweave.llm.common import give_back
+
 
 def held_out(doc_id: Column, folds: int, fold: int) -> Column:
     """Whether crc32 of the id as text leaves ``fold`` on division by ``folds``; a null id counts as the empty text."""
@@ -48,7 +50,10 @@ def fit_in_task(rows: DataFrame, fit: Callable[[list[str], np.ndarray], object])
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         parts = list(batches)
         every = pd.concat(parts).sort_values("doc_id") if parts else pd.DataFrame({"doc_id": [], "text": [], "y": []})
-        yield pd.DataFrame({"model": [pickle.dumps(fit(every["text"].tolist(), every["y"].to_numpy(np.int64)))]})
+        made = pickle.dumps(fit(every["text"].tolist(), every["y"].to_numpy(np.int64)))
+        del parts, every
+        give_back()
+        yield pd.DataFrame({"model": [made]})
 
     made = rows.repartition(1).mapInPandas(run, "model binary").first()
     return pickle.loads(made.model) if made else fit([], np.empty(0, np.int64))

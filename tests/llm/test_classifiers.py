@@ -1,3 +1,4 @@
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -142,3 +143,12 @@ def test_fit_in_task(spark, empty):
     assert np.allclose(model.weight, here.weight, atol=1e-6) and np.allclose(model.edges, here.edges)
     for module in (toxicity, quality):
         assert module.score(docs, module.train(empty, labels)).count() == 80
+
+
+def test_kernel_takes_little_memory():
+    words = [prose(i, 9).replace(" ", "")[:20] for i in range(2500)]
+    tracemalloc.start()
+    out = toxicity.kernel(words, words[:160])
+    _, most = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert np.allclose(out[:160].diagonal(), 1) and most < 150 << 20
