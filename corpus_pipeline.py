@@ -44,7 +44,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest id, of each class of near copies: five-word shingles, similarity 0.8 or more."""
+    """One document, that of the smallest id, of each class of near copies: SimHash classes of operator 5, over five-word shingles, and similarity 0.8 or more."""
     return similar.keep_one(docs)
 
 

@@ -1,6 +1,8 @@
-"""Near copies for the pipeline: texts whose sets of five-word shingles have Jaccard similarity 0.8 or more.
+"""Near copies for the pipeline: SimHash classes over five-word shingles, and sets of these of Jaccard similarity 0.8 or more.
 
-Rows with equal sets are one node.  Nodes that agree in a band of a MinHash signature are candidates; every candidate
+Rows with equal sets are one node.  First operator 5 links them: texts whose SimHash fingerprints differ in RADIUS bits or
+fewer, found by multi-index hashing.  As texts of similarity 0.8 differ in more bits, those are looked for as well, and both kinds of links make the
+classes.  Nodes that agree in a band of a MinHash signature are candidates; every candidate
 pair is verified by the sizes of the sets (of 64-bit shingle hashes), and verified pairs are linked to classes.  At similarity
 0.8 a pair has no band in common with probability (1 - 0.8**ROWS)**BANDS, about 3 in 100,000.
 """
@@ -17,9 +19,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from plotweave.llm.common import give_back, if_small, slices, small_batches
+from plotweave.llm import simhash
 from plotweave.llm.simhash import SEED, shingle_hashes
 from plotweave.operators.components import connected_components
-from plotweave.storage import materialise
+from plotweave.storage import materialise, unsent
 
 SHINGLE_WORDS, SIMILARITY, BANDS, ROWS = 5, 0.8, 20, 4
 _RNG = np.random.default_rng(SEED)
@@ -62,18 +65,21 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
 
 
 def _signed(docs: DataFrame, text_col: str) -> DataFrame:
-    """All columns of ``docs`` with ``__node`` and ``__bands``."""
+    """All columns of ``docs`` with ``__node``, ``__bands`` and the SimHash fingerprint ``__fp``."""
     at = docs.columns.index(text_col)
-    schema = T.StructType([*docs.schema.fields, T.StructField("__node", T.LongType()), T.StructField("__bands", T.ArrayType(T.LongType()))])
+    schema = T.StructType([*docs.schema.fields, T.StructField("__node", T.LongType()), T.StructField("__bands", T.ArrayType(T.LongType())), T.StructField("__fp", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            nodes, keys = [], []
+            nodes, keys, fps = [], [], []
             for texts in slices(b.column(at)):
-                sets = [shingle_set(t) for t in texts]
+                hashes = [shingle_hashes(t, SHINGLE_WORDS) for t in texts]
+                fps += [simhash.majority(*h) for h in hashes]
+                sets = [np.unique(np.frombuffer(h, np.uint64)) for h, _ in hashes]
                 nodes += [node(s) for s in sets]
                 keys += [bands(s) for s in sets]
-            yield pa.record_batch([*b.columns, pa.array(nodes, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], [*b.schema.names, "__node", "__bands"])
+            own = [pa.array(nodes, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(np.array(fps, np.uint64).view(np.int64), pa.int64())]
+            yield pa.record_batch([*b.columns, *own], [*b.schema.names, "__node", "__bands", "__fp"])
         give_back()
 
     return docs.mapInArrow(run, schema)
@@ -159,10 +165,18 @@ def _renamed(rows: DataFrame, column: str, merged: DataFrame) -> DataFrame:
     return joined.withColumn(column, F.coalesce("new", column)).drop("old", "new")
 
 
-def _classes(nodes: DataFrame, signed: DataFrame, text_col: str) -> DataFrame:
+def _alike(prints: DataFrame) -> DataFrame:
+    """``(a, b)``: each node of ``prints(n, fp)`` with the least one of its SimHash class.  A node whose rows repeat shingles may have several fingerprints."""
+    labels = materialise(simhash.classes(prints.select("fp").distinct()), "labels")
+    named = materialise(prints.join(unsent(labels), F.col("fp") == F.col("node")).select("n", "label"), "alike")
+    least = named.groupBy("label").agg(F.min("n").alias("b"), F.max("n").alias("most")).where("b <> most").select("label", "b")
+    return named.join(if_small(materialise(least, "ends")), "label").where("n <> b").select(F.col("n").alias("a"), "b")
+
+
+def _classes(nodes: DataFrame, prints: DataFrame, signed: DataFrame, text_col: str) -> DataFrame:
     """``(node, label)`` of the nodes that have a near copy.
 
-    First each node is held only against the least one in each of its cells, which joins nearly all of a large group of near
+    Nodes of one SimHash class are linked from the start.  Then each node is held only against the least one in each of its cells, which joins nearly all of a large group of near
     copies.  Nodes of cells that hold several classes still are open: all links among them are found by their rarest shingles,
     first each node against two of each of its prefix shingles, drawn by hash, then all pairs whose classes differ still and whose sizes
     ranks and sketches allow the similarity.  Texts that merely share a frequent passage have it at the end of the ranking and don't meet.
@@ -171,7 +185,8 @@ def _classes(nodes: DataFrame, signed: DataFrame, text_col: str) -> DataFrame:
     least = cells.groupBy("key").agg(F.min("node").alias("b"), F.max("node").alias("most")).where("b <> most").select("key", "b")
     least = materialise(least, "least")
     stars = cells.join(if_small(least), "key").where("node <> b").select(F.col("node").alias("a"), "b").distinct()
-    first = connected_components(_verified(materialise(stars, "stars"), signed, text_col), "a", "b")
+    links = _verified(materialise(stars, "stars"), signed, text_col).unionByName(_alike(prints)).distinct()
+    first = connected_components(materialise(links, "links"), "a", "b")
     first = materialise(first.select(F.col("node").alias("n1"), "label"), "first")
     shared = cells.join(if_small(least.select("key")), "key", "left_semi")
     known = materialise(shared.join(if_small(first), F.col("node") == F.col("n1"), "left").select("key", "node", F.coalesce("label", "node").alias("c")), "known")
@@ -201,7 +216,8 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     rows = materialise(signed.groupBy(F.col("__node").alias("node"), F.col(id_col).alias("id")).agg(F.count("*").alias("n"), F.first("__bands").alias("bands")), "rows")
     own = F.struct(F.col("id").isNull().alias("none"), F.col("id").alias("id"))
     nodes = materialise(rows.groupBy("node").agg(F.sum("n").alias("n"), F.min(own).alias("own"), F.first("bands").alias("bands")), "nodes")
-    found = materialise(_classes(nodes, signed, text_col), "classes")
+    prints = materialise(signed.select(F.col("__node").alias("n"), F.col("__fp").alias("fp")).distinct(), "prints")
+    found = materialise(_classes(nodes, prints, signed, text_col), "classes")
     named = nodes.select("node", "n", "own").join(if_small(found.withColumnRenamed("node", "n1")), F.col("node") == F.col("n1"), "left")
     named = materialise(named.select("node", "n", "own", F.coalesce("label", "node").alias("label")), "named")
     best = named.groupBy("label").agg(F.min(F.struct("own", "node")).alias("best"), F.sum("n").alias("rows")).where("rows > 1")

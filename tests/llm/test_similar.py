@@ -1,5 +1,5 @@
 import corpus_pipeline
-from plotweave.llm import similar
+from plotweave.llm import simhash, similar
 from tests.llm.conftest import prose, table
 
 
@@ -73,3 +73,14 @@ def test_sketches_differ_no_more_than_sets():
     for x, y in ((a, b), (a, a[:-5]), (a, a[:0])):
         bits = sum(int(v).bit_count() for v in (similar.sketch(x) ^ similar.sketch(y)).view("u8"))
         assert bits <= len(set(x.tolist()) ^ set(y.tolist()))
+
+
+def test_simhash_classes_are_classes(spark):
+    """Texts that SimHash links, as they repeat the same words, are near copies though few of their distinct shingles are common."""
+    many = " ".join([prose(1, 7)] * 40)
+    texts = [f"{many} {prose(10 + i, 20)}" for i in range(3)]
+    fps = [simhash.fingerprint(t, similar.SHINGLE_WORDS) for t in texts]
+    assert all((fps[0] ^ f).bit_count() <= simhash.RADIUS for f in fps)
+    assert not similar.similar(*[similar.shingle_set(t) for t in texts[:2]])
+    docs = [(5 + i, t) for i, t in enumerate(texts)] + [(1, prose(50, 60)), (2, prose(51, 60)), (3, texts[0] + " " + many)]
+    assert sorted(r.doc_id for r in similar.keep_one(table(spark, docs)).collect()) == [1, 2, 3]
