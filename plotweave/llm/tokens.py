@@ -230,6 +230,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_
     """
     spark = docs.sparkSession
     vocabulary = Encoder(tokenizer).tok.get_vocab_size()
+    give_back()
     with small_batches(spark, 2048):
         tokens = materialise(tokenize(docs, tokenizer, id_col, text_col), "tokens")
     counts = count_ids(tokens, vocabulary)

@@ -148,11 +148,11 @@ class Model:
         parts = [_pieces(w) for w in words]
         flat = [p for ps in parts for p in ps]
         out = np.empty(len(flat))
-        for at in range(0, len(flat), 4096):
-            some = flat[at : at + 4096]
+        for at in range(0, len(flat), 1024):
+            some = flat[at : at + 1024]
             w, c, v = subsequences(some)
             up = np.bincount(w, v * self.weight[c], len(some))
-            out[at : at + 4096] = up / np.sqrt(np.maximum(np.bincount(w, v * v, len(some)), 1e-12)) + self.bias
+            out[at : at + 1024] = up / np.sqrt(np.maximum(np.bincount(w, v * v, len(some)), 1e-12)) + self.bias
         if len(flat) == len(words):
             return out
         sizes = np.array([len(p) for p in parts])
